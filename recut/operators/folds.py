@@ -1,0 +1,107 @@
+"""Exact left-to-right folds over long ordered groups, run slice by slice in parallel.
+
+Some rules are truly sequential: what happens to a row depends on what was decided for earlier rows.
+``sliced_fold`` cuts each key into slices of the leading order column and folds all slices at once,
+each from a guessed entry state.  The exit state of a slice is then handed to the next slice, and only
+slices whose entry state changed are folded again, until nothing changes.  By induction from the first
+slice the result is the sequential one.  Such rules forget their past quickly (a pause, a far enough
+cut), so one or two extra passes over the few affected slices are usual.  No task ever holds more
+than one slice.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from recut.session import cut_lineage
+
+_SLICE = "__slice"
+
+Step = Callable[[str, pd.DataFrame], tuple[pd.DataFrame, str]]
+
+
+def sliced_fold(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    step: Step,
+    schema: T.StructType,
+    *,
+    width: float,
+    initial: str = "",
+) -> DataFrame:
+    """Fold ``step(state, rows in order) -> (output rows, state)`` over every key.
+
+    ``step`` sees the columns of ``df``; its output must match ``schema``.  The state is a string.
+    """
+    keys, order = list(keys), list(order)
+    at = [*keys, _SLICE]
+    sliced = df.withColumn(_SLICE, F.floor(F.col(order[0]) / F.lit(float(width))).cast("bigint"))
+    across = Window.partitionBy(*keys).orderBy(_SLICE)
+    chain = cut_lineage(
+        sliced.select(*at)
+        .distinct()
+        .select(
+            *at,
+            F.lag(_SLICE).over(across).alias("__prev"),
+            F.lead(_SLICE).over(across).isNotNull().alias("__feeds"),
+            F.lit(initial).alias("__entry"),
+        )
+    )
+    todo = chain.where("__feeds")
+    if not todo.isEmpty():
+        sliced = cut_lineage(sliced)
+        exits = None
+        while True:
+            fresh = cut_lineage(_exit_states(sliced, todo, at, order, step))
+            if exits is None:
+                exits = fresh
+            else:
+                exits = cut_lineage(exits.join(fresh.select(*at), at, "left_anti").unionByName(fresh))
+            handed = exits.withColumnRenamed(_SLICE, "__prev").withColumnRenamed("__exit", "__handed")
+            updated = cut_lineage(
+                chain.join(handed, [*keys, "__prev"], "left").withColumn(
+                    "__handed", F.coalesce("__handed", F.lit(initial))
+                )
+            )
+            todo = updated.where(F.col("__feeds") & (F.col("__handed") != F.col("__entry"))).select(
+                *at, "__prev", "__feeds", F.col("__handed").alias("__entry")
+            )
+            chain = updated.select(*at, "__prev", "__feeds", F.col("__handed").alias("__entry"))
+            if todo.isEmpty():
+                break
+
+    def emit(rows: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty:
+            return pd.DataFrame(columns=schema.fieldNames())
+        out, _ = step(entry["__entry"].iloc[0], rows.sort_values(order, kind="stable"))
+        return out
+
+    return sliced.groupBy(*at).cogroup(_entries(chain, at)).applyInPandas(emit, schema)
+
+
+def _entries(chain: DataFrame, at: list[str]):
+    """Entry states grouped like the slices, under other names: both sides share a lineage."""
+    renamed = chain.select(*[F.col(c).alias(f"__entry_{c}") for c in at], "__entry")
+    return renamed.groupBy(*[f"__entry_{c}" for c in at])
+
+
+def _exit_states(sliced: DataFrame, todo: DataFrame, at: list[str], order: list[str], step: Step) -> DataFrame:
+    schema = T.StructType([f for f in sliced.schema.fields if f.name in at])
+    schema = T.StructType([next(f for f in schema.fields if f.name == n) for n in at])
+    schema = schema.add("__exit", T.StringType())
+
+    def run(rows: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty or entry.empty:
+            return pd.DataFrame(columns=schema.fieldNames())
+        _, state = step(entry["__entry"].iloc[0], rows.sort_values(order, kind="stable"))
+        head = rows.iloc[0]
+        return pd.DataFrame([[*(head[c] for c in at), state]], columns=schema.fieldNames())
+
+    wanted = sliced.join(todo.select(*at), at, "left_semi")
+    return wanted.groupBy(*at).cogroup(_entries(todo, at)).applyInPandas(run, schema)
