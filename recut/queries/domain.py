@@ -219,3 +219,40 @@ decisions AS (SELECT o_custkey % 50 AS project_id, o_orderkey AS seg_no,
                      CAST(floor(o_totalprice / 100 + 0.5) AS BIGINT) AS dur_ms,
                      CAST(1 + o_orderkey % 4 AS BIGINT) AS clip_count FROM orders)
 """
+
+
+_LOCAL_THRESHOLDS = (-0.12, -0.03, 0.03, 0.12)
+
+
+def local_features(t: Tables) -> DataFrame:
+    """Ten embeddings make a shot of two frames with five key points each.
+
+    A descriptor word holds one bit per dimension: set where the value lies above the word's threshold.
+    """
+    word = lambda v: F.expr(
+        f"aggregate(transform(slice(embedding, 1, 60), (x, i) -> if(double(x) > {v}D, shiftleft(1L, i), 0L)), 0L, (a, b) -> a + b)"
+    )
+    shot = F.floor(F.col("vec_id") / 10).cast("bigint")
+    return t.embeddings.select(
+        F.lit(0).cast("bigint").alias("project_id"),
+        shot.alias("shot_no"),
+        F.when(shot % 5 == 0, "ref").otherwise("movie").alias("side"),
+        (F.floor(F.col("vec_id") / 5) % 2).cast("bigint").alias("frame_pos"),
+        (F.col("vec_id") % 5).alias("kp_no"),
+        (F.col("vec_id") % 10).alias("desc_no"),
+        F.floor(F.element_at("embedding", 61) * 100).cast("bigint").alias("x"),
+        F.floor(F.element_at("embedding", 62) * 100).cast("bigint").alias("y"),
+        *[word(v).alias(f"w{i}") for i, v in enumerate(_LOCAL_THRESHOLDS)],
+    )
+
+
+_WORD_SQL = "list_sum(list_transform(range(60), lambda i: CASE WHEN embedding[i + 1]::DOUBLE > {v}::DOUBLE THEN (1::BIGINT << i) ELSE 0 END))::BIGINT AS w{n}"
+LOCAL_SQL = (
+    """
+local AS (SELECT 0::BIGINT AS project_id, vec_id // 10 AS shot_no, CASE WHEN (vec_id // 10) % 5 = 0 THEN 'ref' ELSE 'movie' END AS side,
+  (vec_id // 5) % 2 AS frame_pos, vec_id % 5 AS kp_no, vec_id % 10 AS desc_no,
+  CAST(floor(embedding[61] * 100) AS BIGINT) AS x, CAST(floor(embedding[62] * 100) AS BIGINT) AS y,
+"""
+    + ", ".join(_WORD_SQL.format(v=v, n=n) for n, v in enumerate(_LOCAL_THRESHOLDS))
+    + " FROM embeddings)"
+)

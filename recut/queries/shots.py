@@ -54,7 +54,7 @@ rec AS (
 def _(t):
     frames = scored(t)
     cut = shots.adaptive_cut_threshold(frames, ["media_id"], "score", 0.3)
-    return shots.select_cuts(frames, cut, ["media_id"], fps=25.0, width=200)
+    return shots.select_cuts(frames, cut, ["media_id"], fps=25.0, width=2_000)
 
 
 @query(
@@ -72,9 +72,9 @@ SELECT media_id, s AS start_frame, coalesce(lead(s) OVER (PARTITION BY media_id
 def _(t):
     frames = scored(t)
     cut = shots.adaptive_cut_threshold(frames, ["media_id"], "score", 0.3)
-    cuts = shots.select_cuts(frames, cut, ["media_id"], fps=25.0, width=200)
+    cuts = shots.select_cuts(frames, cut, ["media_id"], fps=25.0, width=2_000)
     counts = frames.groupBy("media_id").agg((F.max("frame_no") + 1).alias("frame_count"))
-    return shots.cuts_to_scenes(cuts, counts, ["media_id"], width=200)
+    return shots.cuts_to_scenes(cuts, counts, ["media_id"], width=2_000)
 
 
 SCENES_SQL = """,
@@ -88,7 +88,7 @@ scenes AS (SELECT media_id, min(f) AS start_frame, max(coalesce(nf, f)) AS end_f
 
 def _scenes(t):
     probs = t.frame_scores.select("media_id", (F.col("frame_no") - 1).alias("frame_idx"), "prob_m")
-    return shots.probs_to_scenes(probs, ["media_id"], above=F.col("prob_m") > 700, width=200)
+    return shots.probs_to_scenes(probs, ["media_id"], above=F.col("prob_m") > 700, width=2_000)
 
 
 @query("probability_scenes", "W2", SCORES + SCENES_SQL + "SELECT media_id, start_frame, end_frame FROM scenes")
@@ -121,7 +121,7 @@ def _(t):
     stretch = F.when(F.col("start_frame") % 3 == 0, 3).otherwise(0)
     counts = t.frame_scores.groupBy("media_id").agg(F.count(F.lit(1)).alias("frame_count"))
     raw = _scenes(t).withColumn("end_frame", F.col("end_frame") + stretch).join(counts, "media_id")
-    return shots.normalize_scenes(raw, ["media_id"], min_frames=4, width=200)
+    return shots.normalize_scenes(raw, ["media_id"], min_frames=4, width=2_000)
 
 
 @query(
