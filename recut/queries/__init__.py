@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("intervals", "runs", "shots", "similarity", "alignment")
+MODULES = ("intervals", "runs", "shots", "similarity", "alignment", "narration", "audio")
 
 
 def load():

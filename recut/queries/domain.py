@@ -256,3 +256,30 @@ local AS (SELECT 0::BIGINT AS project_id, vec_id // 10 AS shot_no, CASE WHEN (ve
     + ", ".join(_WORD_SQL.format(v=v, n=n) for n, v in enumerate(_LOCAL_THRESHOLDS))
     + " FROM embeddings)"
 )
+
+
+def audio_ranges(t: Tables) -> DataFrame:
+    """Line items as clips of segments ten seconds apart, with derived subtitle coverage."""
+    length = (F.col("qty") * 200).cast("bigint")
+    start = (F.col("clip_no") - 1) * 10_000
+    qty = ((F.col("end_ms") - F.col("start_ms")) / 1_000).alias("qty")
+    base = clips(t).select("item_no", "clip_no", "part_no", qty)
+    return base.select(
+        (F.col("item_no") % 50).alias("project_id"),
+        F.col("item_no").alias("seg_no"),
+        (F.col("clip_no") - 1).alias("clip_pos"),
+        (F.col("clip_no") - 1).alias("clip_index"),
+        start.alias("start_ms"),
+        (start + length).alias("end_ms"),
+        F.floor(length * (F.col("part_no") % 101) / 100).cast("bigint").alias("covered_ms"),
+        (F.col("part_no") % 4).alias("subtitle_count"),
+        F.when(F.col("item_no") % 7 == 0, "hook").when(F.col("item_no") % 7 == 1, "ending").otherwise("narration").alias("text_role"),
+    )
+
+
+AUDIO_RANGES_SQL = """
+audio_ranges AS (
+  SELECT item_no % 50 AS project_id, item_no AS seg_no, clip_no - 1 AS clip_pos, clip_no - 1 AS clip_index, (clip_no - 1) * 10000 AS start_ms,
+    (clip_no - 1) * 10000 + (end_ms - start_ms) // 5 AS end_ms, ((end_ms - start_ms) // 5) * (part_no % 101) // 100 AS covered_ms,
+    part_no % 4 AS subtitle_count, CASE item_no % 7 WHEN 0 THEN 'hook' WHEN 1 THEN 'ending' ELSE 'narration' END AS text_role FROM clips)
+"""
