@@ -5,13 +5,15 @@ Some rules are truly sequential: what happens to a row depends on what was decid
 each from a guessed entry state.  The exit state of a slice is then handed to the next slice, and only
 slices whose entry state changed are folded again, until nothing changes.  By induction from the first
 slice the result is the sequential one.  Such rules forget their past quickly (a pause, a far enough
-cut), so one or two extra passes over the few affected slices are usual.  No task ever holds more
-than one slice.
+cut), so one or two extra passes over the few affected slices are usual.  Spark partitions and sorts
+the rows; a task streams over many short groups or part of a long one and holds one state.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import json
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -22,25 +24,28 @@ from recut.session import cut_lineage
 
 _SLICE = "__slice"
 
-Step = Callable[[str, pd.DataFrame], tuple[pd.DataFrame, str]]
+Step = Callable[[Any, tuple], tuple[Any, Any]]
 
 
 def sliced_fold(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
+    inputs: Sequence[str],
     step: Step,
-    schema: T.StructType,
     *,
+    label: str,
+    label_type: T.DataType,
     width: float,
-    initial: str = "",
+    initial: Any = None,
 ) -> DataFrame:
-    """Fold ``step(state, rows in order) -> (output rows, state)`` over every key.
+    """Add ``label`` to every row: ``step(state, input values) -> (label, state)`` in ``order``.
 
-    ``step`` sees the columns of ``df``; its output must match ``schema``.  The state is a string.
+    States must survive JSON.  The state before the first row of a key is ``initial``.
     """
-    keys, order = list(keys), list(order)
+    keys, order, inputs = list(keys), list(order), list(inputs)
     at = [*keys, _SLICE]
+    start = json.dumps(initial)
     sliced = df.withColumn(_SLICE, F.floor(F.col(order[0]) / F.lit(float(width))).cast("bigint"))
     across = Window.partitionBy(*keys).orderBy(_SLICE)
     chain = cut_lineage(
@@ -50,24 +55,24 @@ def sliced_fold(
             *at,
             F.lag(_SLICE).over(across).alias("__prev"),
             F.lead(_SLICE).over(across).isNotNull().alias("__feeds"),
-            F.lit(initial).alias("__entry"),
+            F.lit(start).alias("__entry"),
         )
     )
     todo = chain.where("__feeds")
-    if not todo.isEmpty():
+    if todo.isEmpty():
+        entered = sliced.withColumn("__entry", F.lit(start))
+    else:
         sliced = cut_lineage(sliced)
         exits = None
         while True:
-            fresh = cut_lineage(_exit_states(sliced, todo, at, order, step))
+            fresh = cut_lineage(_exit_states(sliced, todo, at, order, inputs, step))
             if exits is None:
                 exits = fresh
             else:
                 exits = cut_lineage(exits.join(fresh.select(*at), at, "left_anti").unionByName(fresh))
             handed = exits.withColumnRenamed(_SLICE, "__prev").withColumnRenamed("__exit", "__handed")
             updated = cut_lineage(
-                chain.join(handed, [*keys, "__prev"], "left").withColumn(
-                    "__handed", F.coalesce("__handed", F.lit(initial))
-                )
+                chain.join(handed, [*keys, "__prev"], "left").withColumn("__handed", F.coalesce("__handed", F.lit(start)))
             )
             todo = updated.where(F.col("__feeds") & (F.col("__handed") != F.col("__entry"))).select(
                 *at, "__prev", "__feeds", F.col("__handed").alias("__entry")
@@ -75,33 +80,53 @@ def sliced_fold(
             chain = updated.select(*at, "__prev", "__feeds", F.col("__handed").alias("__entry"))
             if todo.isEmpty():
                 break
-
-    def emit(rows: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty:
-            return pd.DataFrame(columns=schema.fieldNames())
-        out, _ = step(entry["__entry"].iloc[0], rows.sort_values(order, kind="stable"))
-        return out
-
-    return sliced.groupBy(*at).cogroup(_entries(chain, at)).applyInPandas(emit, schema)
-
-
-def _entries(chain: DataFrame, at: list[str]):
-    """Entry states grouped like the slices, under other names: both sides share a lineage."""
-    renamed = chain.select(*[F.col(c).alias(f"__entry_{c}") for c in at], "__entry")
-    return renamed.groupBy(*[f"__entry_{c}" for c in at])
-
-
-def _exit_states(sliced: DataFrame, todo: DataFrame, at: list[str], order: list[str], step: Step) -> DataFrame:
-    schema = T.StructType([f for f in sliced.schema.fields if f.name in at])
-    schema = T.StructType([next(f for f in schema.fields if f.name == n) for n in at])
-    schema = schema.add("__exit", T.StringType())
-
-    def run(rows: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty or entry.empty:
-            return pd.DataFrame(columns=schema.fieldNames())
-        _, state = step(entry["__entry"].iloc[0], rows.sort_values(order, kind="stable"))
-        head = rows.iloc[0]
-        return pd.DataFrame([[*(head[c] for c in at), state]], columns=schema.fieldNames())
-
-    wanted = sliced.join(todo.select(*at), at, "left_semi")
-    return wanted.groupBy(*at).cogroup(_entries(todo, at)).applyInPandas(run, schema)
+        entered = sliced.join(chain.select(*at, "__entry"), at)
+
+    out_columns = [*df.columns, label]
+    schema = T.StructType([df.schema[c] for c in df.columns]).add(label, label_type)
+
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, labels, _ in _walk(batches, at, inputs, step):
+            if labels:
+                yield rows.assign(**{label: labels})[out_columns]
+
+    return _in_order(entered, at, order).mapInPandas(emit, schema)
+
+
+def _in_order(df: DataFrame, at: list[str], order: list[str]) -> DataFrame:
+    return df.repartition(*at).sortWithinPartitions(*at, *order)
+
+
+def _walk(
+    batches: Iterator[pd.DataFrame], at: list[str], inputs: list[str], step: Step
+) -> Iterator[tuple[pd.DataFrame, list, list[tuple]]]:
+    """Labels of each sorted batch, and the (group, exit state) pairs of groups that ended in it."""
+    group = state = None
+    for rows in batches:
+        labels, ended = [], []
+        groups = zip(*(rows[c].tolist() for c in at), strict=True)
+        values = zip(*(rows[c].tolist() for c in inputs), strict=True)
+        for here, value, entry in zip(groups, values, rows["__entry"].tolist(), strict=True):
+            if here != group:
+                if group is not None:
+                    ended.append((*group, json.dumps(state)))
+                group, state = here, json.loads(entry)
+            out, state = step(state, value)
+            labels.append(out)
+        yield rows, labels, ended
+    if group is not None:
+        yield pd.DataFrame(), [], [(*group, json.dumps(state))]
+
+
+def _exit_states(sliced: DataFrame, todo: DataFrame, at: list[str], order: list[str], inputs: list[str], step: Step) -> DataFrame:
+    schema = T.StructType([sliced.schema[c] for c in at]).add("__exit", T.StringType())
+    names = schema.fieldNames()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, _, ended in _walk(batches, at, inputs, step):
+            if ended:
+                yield pd.DataFrame(ended, columns=names)
+
+    needed = list(dict.fromkeys([*at, *order, *inputs]))
+    wanted = sliced.select(*needed).join(todo.select(*at, "__entry"), at)
+    return _in_order(wanted, at, order).mapInPandas(run, schema)

@@ -14,9 +14,9 @@ def run_ids(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str = "run_no", *, width: float
 ) -> DataFrame:
     """Number runs of consecutive rows with equal ``value``."""
-    with_prev = scan(df, keys, order, [lag("__prev", value), position("__pos")], width=width)
-    opens = (F.col("__pos") == 1) | ~F.col(value).eqNullSafe(F.col("__prev"))
-    return group_ids(with_prev, keys, order, opens, out, width=width).drop("__prev", "__pos")
+    with_prev = scan(df, keys, order, [lag("__run_prev", value), position("__run_pos")], width=width)
+    opens = (F.col("__run_pos") == 1) | ~F.col(value).eqNullSafe(F.col("__run_prev"))
+    return group_ids(with_prev, keys, order, opens, out, width=width).drop("__run_prev", "__run_pos")
 
 
 def top_k(

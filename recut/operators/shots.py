@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recut.operators.folds import sliced_fold
-from recut.operators.ordered import FRAME_SLICE, lag, lead, scan
+from recut.operators.ordered import FRAME_SLICE, group_ids, lag, lead, scan
 from recut.operators.runs import exact_quantiles, run_ids
 
 # Fixed values of the detector.
@@ -65,19 +64,15 @@ def select_cuts(
         )
         .select(*keys, F.col(frame).cast("bigint").alias(frame))
     )
-    columns = [*keys, frame]
 
-    def keep_spaced(state: str, rows: pd.DataFrame) -> tuple[pd.DataFrame, str]:
-        last = int(state)
-        kept = []
-        for at, value_ in enumerate(rows[frame].to_numpy()):
-            if value_ - last >= min_gap:
-                kept.append(at)
-                last = int(value_)
-        return rows.iloc[kept][columns], str(last)
+    def spaced(last: int, row: tuple) -> tuple[bool, int]:
+        keep = row[0] - last >= min_gap
+        return keep, int(row[0]) if keep else last
 
-    schema = T.StructType([peaks.schema[c] for c in columns])
-    return sliced_fold(peaks, keys, [frame], keep_spaced, schema, width=width, initial="0")
+    kept = sliced_fold(
+        peaks, keys, [frame], [frame], spaced, label="__kept", label_type=T.BooleanType(), width=width, initial=0
+    )
+    return kept.where("__kept").drop("__kept")
 
 
 def cuts_to_scenes(
@@ -142,26 +137,18 @@ def normalize_scenes(
         F.col("end_frame").alias("__order2"),
     ).where("end_frame >= start_frame")
 
-    def place(state: str, rows: pd.DataFrame) -> tuple[pd.DataFrame, str]:
-        last_end = int(state) if state else None
-        opens = []
-        for start, end in zip(rows["start_frame"].to_numpy(), rows["end_frame"].to_numpy(), strict=True):
-            if last_end is not None and start <= last_end:
-                opens.append("extend")
-                last_end = int(end)
-            elif last_end is None or end - start + 1 >= min_frames:
-                opens.append("open")
-                last_end = int(end)
-            else:
-                opens.append("drop")
-        out = rows.assign(placed=opens)[[*keys, "__order", "__order2", "start_frame", "end_frame", "placed"]]
-        return out, "" if last_end is None else str(last_end)
-
-    fields = [clamped.schema[c] for c in [*keys, "__order", "__order2", "start_frame", "end_frame"]]
-    schema = T.StructType([*fields, T.StructField("placed", T.StringType())])
-    placed = sliced_fold(clamped, keys, ["__order", "__order2"], place, schema, width=width).where("placed <> 'drop'")
-    from recut.operators.ordered import group_ids
-
+    def place(last_end: int | None, row: tuple) -> tuple[str, int | None]:
+        start, end = row
+        if last_end is not None and start <= last_end:
+            return "extend", int(end)
+        if last_end is None or end - start + 1 >= min_frames:
+            return "open", int(end)
+        return "drop", last_end
+
+    order = ["__order", "__order2"]
+    placed = sliced_fold(
+        clamped, keys, order, ["start_frame", "end_frame"], place, label="placed", label_type=T.StringType(), width=width
+    ).where("placed <> 'drop'")
     grouped = group_ids(
         placed, keys, ["__order", "__order2"], F.col("placed") == "open", "__scene", width=width
     )

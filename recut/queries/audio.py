@@ -176,7 +176,7 @@ def _(t):
     limits = rows.groupBy("project_id").agg(
         (F.sum("original_ms") * 30).alias("max_ms_x100"), F.ceil(F.sum("clip_count") * 30 / 100).cast("bigint").alias("max_clips")
     )
-    return au.greedy_budget(rows, limits, ["project_id"], width=20).select("project_id", "seg_no", "kept")
+    return au.greedy_budget(rows, limits, ["project_id"], width=20, fold_rows=50).select("project_id", "seg_no", "kept")
 
 
 @query(

@@ -40,11 +40,16 @@ def rows_of(names, rows):
     return sorted(tuple(_cell(r[i]) for i in order) for r in rows)
 
 
+LAST: dict[str, float] = {}
+
+
 def compare(spark, con, name, plan, sql, root) -> str:
     from recut.queries.registry import Tables
 
+    began = time.time()
     df = plan(Tables(spark, root))
     got = [tuple(r) for r in df.collect()]
+    LAST["spark"] = time.time() - began
     if sql is None:
         return f"rows only: {len(got)}"
     cur = con.execute(sql)
@@ -88,7 +93,7 @@ def main() -> None:
         except Exception as exc:  # report and go on
             outcome = "FAIL " + type(exc).__name__ + " " + str(exc)[:700]
         bad += outcome.startswith("FAIL")
-        print(f"{name}: {outcome} [{time.time() - began:.1f}s]", flush=True)
+        print(f"{name}: {outcome} [{LAST.get('spark', 0):.1f}s of {time.time() - began:.1f}s]", flush=True)
     print("failures:", bad)
 
 
