@@ -7,15 +7,16 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Unicode compatibility composition."""
     return text.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """Matching-block ratio of two normalised texts; zero when either is empty.  Not symmetric."""
     return pd.Series(
@@ -23,6 +24,6 @@ def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decode_gbk(data: pd.Series) -> pd.Series:
     return data.map(lambda b: None if b is None else bytes(b).decode("gbk", errors="replace"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("intervals", "runs", "shots", "similarity", "alignment", "narration", "audio", "timeline")
+MODULES = ("intervals", "runs", "shots", "similarity", "alignment", "narration", "audio", "timeline", "texts", "files", "transcripts")
 
 
 def load():
