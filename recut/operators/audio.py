@@ -69,7 +69,7 @@ def initial_signals(ranges: DataFrame, keys: Sequence[str], *, pos: str = "clip_
 def smooth_roles(signals: DataFrame, keys: Sequence[str], *, pos: str = "clip_pos", width: float = ORDINAL_SLICE) -> DataFrame:
     """Short original runs become narration; then a short narration clip between originals flips back."""
     keys = list(keys)
-    runs = run_ids(signals, keys, [pos], "audio_role", "__run", width=width)
+    runs = cut_lineage(run_ids(signals, keys, [pos], "audio_role", "__run", width=width))
     spans = runs.groupBy(*keys, "__run").agg(
         F.greatest(F.lit(0), F.max_by("end_ms", pos) - F.min_by("start_ms", pos)).alias("__span")
     )

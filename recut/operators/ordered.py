@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recut.session import cut_lineage
+
 TIME_SLICE_MS = 600_000
 ORDINAL_SLICE = 10_000
 FRAME_SLICE = 50_000
@@ -77,13 +79,21 @@ def scan(
     """Add ``specs`` to ``df``; ``order`` must be total, its first column numeric and non-null."""
     keys, order = list(keys), list(order)
     sliced = df.withColumn(_SLICE, F.floor(F.col(order[0]) / F.lit(float(width))).cast("bigint"))
-    rank = F.struct(*order)
+    # A single number keeps the summary in a hash aggregate; a struct would make it sort.
+    rank = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     inside = Window.partitionBy(*keys, _SLICE).orderBy(*order)
     earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
-    later = inside.rowsBetween(1, Window.unboundedFollowing)
+    # Looking ahead is looking back in the opposite order: a frame open to the end costs a rescan per row.
+    later = (
+        Window.partitionBy(*keys, _SLICE)
+        .orderBy(*[F.col(c).desc() for c in order])
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
     across = Window.partitionBy(*keys).orderBy(_SLICE)
     slices_before = across.rowsBetween(Window.unboundedPreceding, -1)
-    slices_after = across.rowsBetween(1, Window.unboundedFollowing)
+    slices_after = (
+        Window.partitionBy(*keys).orderBy(F.col(_SLICE).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    )
 
     local: list[Column] = []
     summary: list[Column] = []
@@ -122,9 +132,9 @@ def scan(
             carry.append(F.last(total, ignorenulls=True).over(slices_before).alias(carried))
             final.append((spec.out, F.coalesce(F.col(here), F.col(carried))))
         elif spec.kind == "first":
-            local.append(F.first(value, ignorenulls=True).over(later).alias(here))
+            local.append(F.last(value, ignorenulls=True).over(later).alias(here))
             summary.append(F.min_by(value, F.when(value.isNotNull(), rank)).alias(total))
-            carry.append(F.first(total, ignorenulls=True).over(slices_after).alias(carried))
+            carry.append(F.last(total, ignorenulls=True).over(slices_after).alias(carried))
             final.append((spec.out, F.coalesce(F.col(here), F.col(carried))))
         elif spec.kind == "position":
             local.append(F.row_number().over(inside).cast("bigint").alias(here))
@@ -147,7 +157,11 @@ def scan(
 def group_ids(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], starts: Column, out: str, *, width: float
 ) -> DataFrame:
-    """Number the groups opened by rows where ``starts`` is true; the first row of a key opens one too."""
-    flagged = df.withColumn("__open", F.coalesce(starts, F.lit(True)).cast("bigint"))
+    """Number the groups opened by rows where ``starts`` is true; the first row of a key opens one too.
+
+    Whether a row opens a group usually comes out of a scan itself.  A scan reads its input twice, so
+    the flagged rows are written once here instead of being computed again for every later reader.
+    """
+    flagged = cut_lineage(df.withColumn("__open", F.coalesce(starts, F.lit(True)).cast("bigint")))
     counted = scan(flagged, keys, order, [sum_before("__opened", "__open")], width=width)
     return counted.withColumn(out, F.col("__opened") + F.col("__open")).drop("__opened", "__open")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -37,18 +38,19 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by the cluster; a private one only where none is configured."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(configured)
-        return configured
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        current = tempfile.mkdtemp(prefix="recut-checkpoint-")
-        spark.sparkContext.setCheckpointDir(current)
-    return current
-
-
-def cut_lineage(df):
-    """Reliable checkpoint: the rows survive the loss of any executor."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    if not configured:
+        configured = tempfile.mkdtemp(prefix="recut-checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", configured)
+    return configured.rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write the rows to the shared folder and read them back.
+
+    They survive the loss of any executor, later steps read only the columns they need, and the
+    optimizer knows the true size, which decides what may be broadcast.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/recut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
