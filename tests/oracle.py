@@ -75,7 +75,8 @@ def compare(spark, con, name, plan, sql, root) -> str:
 
 def main() -> None:
     root = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    wanted = sys.argv[2:]
+    wanted = [a for a in sys.argv[2:] if not a.startswith("from=")]
+    first = next((a[5:] for a in sys.argv[2:] if a.startswith("from=")), None)
     sys.path.insert(0, ".")
     from recut.queries import load
     from recut.session import local_session
@@ -85,6 +86,9 @@ def main() -> None:
     con = connect(root)
     bad = 0
     for name, plan in registry.plans.items():
+        if first and name != first:
+            continue
+        first = None
         if wanted and not any(w in name for w in wanted):
             continue
         began = time.time()
