@@ -76,7 +76,10 @@ def scan(
     *,
     width: float,
 ) -> DataFrame:
-    """Add ``specs`` to ``df``; ``order`` must be total, its first column numeric and non-null."""
+    """Add ``specs`` to ``df``.
+
+    Keys must not be null; ``order`` must be total, and its first column numeric and not null.
+    """
     keys, order = list(keys), list(order)
     sliced = df.withColumn(_SLICE, F.floor(F.col(order[0]) / F.lit(float(width))).cast("bigint"))
     # A single number keeps the summary in a hash aggregate; a struct would make it sort.
