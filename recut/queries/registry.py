@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from recut.session import ship
+
 Plan = Callable[["Tables"], DataFrame]
 
 
@@ -14,6 +16,7 @@ class Tables:
     """The given tables and the domain views derived from them, read lazily."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
+        ship(spark)
         self.spark = spark
         self.root = root.rstrip("/")
 

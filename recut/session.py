@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -27,6 +28,7 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("RECUT_DRIVER_MEMORY", "12g"))
         .config("spark.sql.shuffle.partitions", str(partitions))
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="recut-checkpoint-"))  # one machine: its own disk is shared
     )
     for name, value in SETTINGS.items():
         builder = builder.config(name, value)
@@ -35,13 +37,23 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once per Spark context, so that its Python kernels run from any folder."""
+    context = spark.sparkContext
+    if getattr(context, "_recut_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(
+        os.path.join(tempfile.mkdtemp(prefix="recut-package-"), "recut"), "zip", os.path.dirname(package), os.path.basename(package)
+    )
+    context.addPyFile(archive)  # the driver serves it to every executor
+    context._recut_shipped = True
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a private one only where none is configured."""
+    """The shared folder named by the cluster; where none is named, one in the warehouse, which is shared as well."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="recut-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    return configured.rstrip("/")
+    return (configured or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch").rstrip("/")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
