@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recut.llm import quality_rules, secrets
 from recut.llm.common import table
 from recut.llm.decontamination import decontaminate
 from recut.llm.simhash import near_duplicates
@@ -14,6 +15,114 @@ from recut.llm.simhash import near_duplicates
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_owned_secrets(spark: SparkSession, root: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, root, "documents"))
+    of_kind = lambda rank: F.size(F.filter("base", lambda x: x["rank"] == rank)).cast("long")
+    return found.select(
+        F.col("id").alias("doc_id"),
+        of_kind(0).alias("n_assign"),
+        of_kind(1).alias("n_access"),
+        of_kind(2).alias("n_hex"),
+        F.sha2(secrets.written(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        secrets.written(F.col("spans")).alias("spans"),
+        "n_owned",
+        "n_copied",
+    )
+
+
+OP3_KINDS = r"""
+    (0, 'assign', '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 8),
+    (1, 'access', 'AKIA[A-Z0-9]+', 16), (2, 'hex', '[0-9a-f]+', 32), (3, 'owned', '[A-Za-z0-9+/_=-]{20,}', 20)"""
+
+
+def _op3_kind(rank: int, group: int) -> str:
+    return f"""
+  SELECT doc_id, owner, repository, rank, kind, least, unnest(regexp_extract_all(t, pattern, 0)) AS whole,
+         unnest(regexp_extract_all(t, pattern, {group})) AS value,
+         unnest(list_slice(string_split_regex(t, pattern), 1, len(regexp_extract_all(t, pattern, 0)))) AS gap,
+         unnest(range(len(regexp_extract_all(t, pattern, 0)))) AS j
+  FROM texts, (SELECT * FROM kinds WHERE rank = {rank})"""
+
+
+OP3_SQL = f"""
+WITH kinds(rank, kind, pattern, least) AS (VALUES {OP3_KINDS}),
+texts AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner, coalesce(lang, '') AS repository FROM documents),
+parts AS ({" UNION ALL ".join(_op3_kind(r, 2 if r == 0 else 0) for r in range(4))}),
+placed AS (
+  SELECT *, CAST(sum(length(gap) + length(whole)) OVER (PARTITION BY doc_id, rank ORDER BY j) AS BIGINT) AS e FROM parts),
+spans AS (SELECT *, e - length(whole) AS s FROM placed WHERE length(value) >= least),
+candidates AS (
+  SELECT * FROM spans WHERE rank < 3
+  UNION ALL
+  SELECT o.* FROM spans o WHERE rank = 3 AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
+    AND len(list_distinct(string_split(value, ''))) >= {secrets.VARIETY}
+    AND NOT regexp_matches(lower(value), '{secrets.PLACEHOLDERS.removeprefix("(?i)")}')
+    AND NOT EXISTS (SELECT 1 FROM spans b WHERE b.doc_id = o.doc_id AND b.rank < 3 AND b.s < o.e AND o.s < b.e)),
+held AS (SELECT value, count(DISTINCT owner) AS owners FROM candidates GROUP BY value),
+listed AS (
+  SELECT doc_id,
+         count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank < 3) AS base,
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank < 3 OR owners = 1) AS spans,
+         count(*) FILTER (owners = 1) AS n_owned, count(*) FILTER (owners >= {secrets.WIDE_OWNERS}) AS n_copied
+  FROM candidates JOIN held USING (value) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_owned, 0) AS n_owned, coalesce(n_copied, 0) AS n_copied
+FROM documents LEFT JOIN listed USING (doc_id)
+"""
+
+
+def op8_controlled_quality_rules(spark: SparkSession, root: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, root, "documents"), table(spark, root, "labels"))
+    return judged.select(
+        F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+_RATIOS = {
+    "symbols_per_word": "n_symbols / n_words",
+    "capital_runs_per_word": "n_capital_runs / n_words",
+    "repeated_share": "n_repeat_words / n_words",
+    "duplicate_line_share": "n_dup_lines / n_lines",
+    "chars_per_word": "word_chars / n_words",
+}
+_GRID = ", ".join(f"('{name}', {i}, CAST({cut} AS DOUBLE))" for name, cuts in quality_rules.RULES.items() for i, cut in enumerate(cuts))
+OP8_SQL = rf"""
+WITH grid(rule, place, cut) AS (VALUES {_GRID}),
+texts AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t FROM documents),
+split AS (
+  SELECT *, list_filter(string_split_regex(t, '[ 	-]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines FROM texts),
+windows AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS c
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM split)),
+repeated AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM windows WHERE c > 1) GROUP BY doc_id),
+counts AS (
+  SELECT doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, len(lines) AS n_lines,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+         len(regexp_extract_all(t, '[A-Z]{{2,}}')) AS n_capital_runs
+  FROM split LEFT JOIN repeated USING (doc_id)),
+stats AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts),
+ratios AS (
+  {" UNION ALL ".join(f"SELECT doc_id, stratum, base_failed, '{n}' AS rule, coalesce({r}, 0) AS ratio FROM (SELECT * REPLACE (nullif(n_words, 0) AS n_words, nullif(n_lines, 0) AS n_lines) FROM stats)" for n, r in _RATIOS.items())}),
+good AS (SELECT r.* FROM ratios r WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+tried AS (SELECT stratum, rule, place, cut, count(*) AS n, count(*) FILTER (ratio > cut) AS k FROM good JOIN grid USING (rule) GROUP BY ALL),
+tails AS (
+  SELECT stratum, rule, place, cut, any_value(n) AS n, CASE WHEN any_value(k) >= any_value(n) * {quality_rules.RISK} THEN 1.0 ELSE
+    sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({quality_rules.RISK}) + (n - i) * ln(1 - {quality_rules.RISK}))) END AS tail
+  FROM (SELECT *, unnest(range(0, k + 1)) AS i FROM tried) GROUP BY stratum, rule, place, cut),
+shown AS (
+  SELECT *, bool_and(tail <= {quality_rules.ERROR} / {len(quality_rules.RULES)} / (SELECT count(DISTINCT stratum) FROM good))
+         OVER (PARTITION BY stratum, rule ORDER BY place) AS holds FROM tails),
+cutoffs AS (SELECT stratum, rule, min(cut) AS cut FROM shown WHERE holds GROUP BY ALL),
+rejected AS (SELECT DISTINCT doc_id FROM ratios JOIN cutoffs USING (stratum, rule) WHERE ratio > cut)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM rejected) AS kept
+FROM stats
+"""
+
+
 def op4_winnowed_benchmark(spark: SparkSession, root: str) -> DataFrame:
     found = decontaminate(table(spark, root, "documents"), table(spark, root, "benchmark"))
     return found.select(
@@ -60,10 +169,16 @@ def op10_golay_near_duplicates(spark: SparkSession, root: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_owned_secrets": op3_owned_secrets,
+        "op8_controlled_quality_rules": op8_controlled_quality_rules,
         "op4_winnowed_benchmark": op4_winnowed_benchmark,
         "op10_golay_near_duplicates": op10_golay_near_duplicates,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_winnowed_benchmark": OP4_SQL}
+    return {
+        "op3_owned_secrets": OP3_SQL,
+        "op4_winnowed_benchmark": OP4_SQL,
+        "op8_controlled_quality_rules": OP8_SQL,
+    }
