@@ -78,7 +78,7 @@ def decontaminate(
     item_col: str = "item_id",
     item_text_col: str = "text",
 ) -> DataFrame:
-    """One row per row of ``docs``: id, n_words, n_hit, n_items, items (sorted as strings) and spans.
+    """One row per row of ``docs``: id, key (digest of the text), n_words, n_hit, n_items, items (sorted as strings) and spans.
 
     ``spans`` are the maximal covered runs as (first word, end word).  A null or empty text has no words and no
     hits; so has every text where the benchmark is empty.  An item without words has no window; one without an id
@@ -147,9 +147,17 @@ def decontaminate(
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, r: a + (r["e"] - r["s"]))
     return counted.join(found, "key", "left").select(
         "id",
+        "key",
         "n_words",
         F.coalesce(n_hit, F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         F.coalesce("spans", F.array().cast("array<struct<s:int,e:int>>")).alias("spans"),
     )
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` in which no window of the benchmark occurs, whole."""
+    hit = cut_lineage(decontaminate(docs, benchmark).where("n_hit > 0").select(F.col("key").alias("_key")).distinct())
+    keyed = docs.withColumn("_key", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    return keyed.join(hit, "_key", "left_anti").select(*docs.columns)

@@ -11,6 +11,7 @@ stratum has too few labels to show it, the rule is not used there.  Only DataFra
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,33 +61,41 @@ def repeated_words(words: Column) -> Column:
     return let(windows, covered)
 
 
-def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum: Column | None = None) -> DataFrame:
-    """(id, stratum, counts): one row per row of ``docs``; a null text is empty."""
+def measures(text: Column) -> Column:
+    """A struct of the counts of one text; words and lines are split once."""
+    words = F.filter(F.split(text, SPACES), lambda w: w != "")
+    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
+
+    def counts(w: Column, n: Column) -> Column:
+        fields = {
+            "n_words": F.size(w),
+            "word_chars": F.char_length(F.array_join(w, "")),
+            "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)),
+            "n_lines": F.size(n),
+            "n_dup_lines": F.size(n) - F.size(F.array_distinct(n)),
+            "n_repeat_words": repeated_words(w),
+            "n_capital_runs": F.regexp_count(text, F.lit("[A-Z]{2,}")),
+        }
+        return F.struct(*(c.cast("long").alias(name) for name, c in fields.items()))
+
+    return let(words, lambda w: let(lines, lambda n: counts(w, n)))
+
+
+def plain(text_col: str, stratum: Column | None) -> tuple[Column, Column]:
+    """Text and stratum without nulls."""
     stratum = F.col("lang") if stratum is None else stratum
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    worded = docs.select(
-        F.col(id_col).alias("id"),
-        F.coalesce(stratum.cast("string"), F.lit("")).alias("stratum"),
-        text.alias("text"),
-        F.filter(F.split(text, SPACES), lambda w: w != "").alias("words"),
-        F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
-    )
-    return worded.select(
-        "id",
-        "stratum",
-        F.size("words").cast("long").alias("n_words"),
-        F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-        F.size("lines").cast("long").alias("n_lines"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("words")).alias("n_repeat_words"),
-        F.regexp_count("text", F.lit("[A-Z]{2,}")).cast("long").alias("n_capital_runs"),
-    )
+    return F.coalesce(F.col(text_col), F.lit("")), F.coalesce(stratum.cast("string"), F.lit(""))
+
+
+def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum: Column | None = None) -> DataFrame:
+    """(id, stratum, m): one row per row of ``docs``; a null text is empty."""
+    text, part = plain(text_col, stratum)
+    return docs.select(F.col(id_col).alias("id"), part.alias("stratum"), measures(text).alias("m"))
 
 
-def ratios() -> dict[str, Column]:
+def ratios(m: Column) -> dict[str, Column]:
     def share(a: str, b: str) -> Column:
-        return F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+        return F.when(m[b] > 0, m[a] / m[b]).otherwise(0.0)
 
     return {
         "symbols_per_word": share("n_symbols", "n_words"),
@@ -97,8 +106,14 @@ def ratios() -> dict[str, Column]:
     }
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+def base_failed(m: Column) -> Column:
+    return (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
+
+
+def kept(m: Column, cutoffs: Column) -> Column:
+    """Neither the base rule nor a cutoff of the text's stratum rejects it."""
+    over = [F.coalesce(c > F.get(cutoffs, F.lit(i)), F.lit(False)) for i, c in enumerate(ratios(m).values())]
+    return ~reduce(lambda a, b: a | b, over, base_failed(m))
 
 
 def binomial_tail(k: Column, n: Column, p: float) -> Column:
@@ -122,7 +137,8 @@ def thresholds(stats: DataFrame, labels: DataFrame, label_id: str = "doc_id", qu
     Counts of good texts and of those each cutoff would reject come from one aggregation over all labelled rows.
     """
     good = labels.where(F.col(quality) == 1).select(F.col(label_id).alias("id")).where("id is not null").distinct()
-    judged = stats.where(~base_failed()).join(good, "id", "left_semi").select("stratum", *(c.alias(n) for n, c in ratios().items()))
+    m = F.col("m")
+    judged = stats.where(~base_failed(m)).join(good, "id", "left_semi").select("stratum", *(c.alias(n) for n, c in ratios(m).items()))
     counts = judged.groupBy("stratum").agg(
         F.count("*").alias("n"),
         *(
@@ -145,17 +161,27 @@ def thresholds(stats: DataFrame, labels: DataFrame, label_id: str = "doc_id", qu
 def judge(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum: Column | None = None
 ) -> DataFrame:
-    """One row per row of ``docs``: id, stratum, counts, ``base_failed`` and ``kept``.
+    """One row per row of ``docs``: id, stratum, m (counts), base_failed, kept.
 
     A null or empty text has no words and fails the base rule.  Without labels, or in a stratum without enough, the
     base rule decides alone.  Repeated labels count once; repeated documents give repeated rows.
     """
     stats = cut_lineage(statistics(docs, id_col, text_col, stratum))
     cut = cut_lineage(thresholds(stats, labels))
-    over = [F.coalesce(c > F.get("cutoffs", F.lit(i)), F.lit(False)) for i, c in enumerate(ratios().values())]
-    rejected = over[0]
-    for more in over[1:]:
-        rejected = rejected | more
+    m = F.col("m")
     return stats.join(cut, "stratum", "left").select(
-        *stats.columns, base_failed().alias("base_failed"), (~base_failed() & ~rejected).alias("kept")
+        "id", "stratum", "m", base_failed(m).alias("base_failed"), kept(m, F.col("cutoffs")).alias("kept")
     )
+
+
+def passing(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept, whole.
+
+    The texts are read twice, for the thresholds and for the verdicts, so that none has to be shuffled.  The verdict
+    is one expression that binds the counts, because a filter is moved below projections with all it refers to.
+    """
+    cut = thresholds(cut_lineage(statistics(docs)), labels)
+    cut = cut_lineage(cut.select(F.col("stratum").alias("_stratum"), F.col("cutoffs").alias("_cutoffs")))
+    text, part = plain("text", None)
+    judged = docs.withColumn("_stratum", part).join(cut, "_stratum", "left")
+    return judged.where(let(measures(text), lambda m: kept(m, F.col("_cutoffs")))).select(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recut.llm import quality_rules, secrets
+from recut.llm import packing, quality_rules, secrets, tokens
 from recut.llm.common import table
 from recut.llm.decontamination import decontaminate
 from recut.llm.simhash import near_duplicates
@@ -72,10 +72,22 @@ FROM documents LEFT JOIN listed USING (doc_id)
 """
 
 
+def op5_whole_token_counts(spark: SparkSession, root: str) -> DataFrame:
+    counted = tokens.count_tokens(table(spark, root, "documents"))
+    return counted.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
+def op7_complement_packing(spark: SparkSession, root: str) -> DataFrame:
+    return packing.pack(table(spark, root, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op8_controlled_quality_rules(spark: SparkSession, root: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, root, "documents"), table(spark, root, "labels"))
     return judged.select(
-        F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+        F.col("id").alias("doc_id"),
+        *(F.col("m")[n].alias(n) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
+        "base_failed",
+        "kept",
     )
 
 
@@ -91,8 +103,10 @@ OP8_SQL = rf"""
 WITH grid(rule, place, cut) AS (VALUES {_GRID}),
 texts AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t FROM documents),
 split AS (
-  SELECT *, list_filter(string_split_regex(t, '[ 	-]+'), lambda x: x <> '') AS w,
-         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines FROM texts),
+  SELECT *, list_filter(string_split_regex(t, '[ 	-
+]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS lines FROM texts),
 windows AS (
   SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS c
   FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM split)),
@@ -172,6 +186,8 @@ def queries() -> dict[str, Query]:
         "op3_owned_secrets": op3_owned_secrets,
         "op8_controlled_quality_rules": op8_controlled_quality_rules,
         "op4_winnowed_benchmark": op4_winnowed_benchmark,
+        "op5_whole_token_counts": op5_whole_token_counts,
+        "op7_complement_packing": op7_complement_packing,
         "op10_golay_near_duplicates": op10_golay_near_duplicates,
     }
 

@@ -146,7 +146,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id names its component, one each; rows that all lack an id are kept as they are."""
-    kept = near_duplicates(docs).where("id = component").select("id").distinct()
-    rows = docs.join(kept.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return rows.unionByName(docs.where("doc_id is null"))
+    """The row of each component whose doc_id names it, whole; components without any id lose nothing.
+
+    Rows that repeat an id are one document, of which one row stays.
+    """
+    found = cut_lineage(near_duplicates(docs))
+    names = cut_lineage(found.where("id = component").groupBy("id").agg(F.count("*").alias("n")))
+    kept = docs.join(names.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    if names.where("n > 1").limit(1).count():
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null"))
