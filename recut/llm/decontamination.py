@@ -117,8 +117,11 @@ def decontaminate(
         return F.when(high >= low, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
 
     long_starts = F.array_distinct(F.flatten(F.transform(places(GRAM), around)))
-    starts = [F.transform(long_starts, lambda s: F.struct(s.alias("s"), F.lit(SPAN).alias("n")))]
-    starts += [F.transform(places(n), lambda s, n=n: F.struct(s.alias("s"), F.lit(n).alias("n"))) for n in short]
+
+    def sized(starts: Column, n: int) -> Column:
+        return F.transform(starts, lambda s: F.struct(s.alias("s"), F.lit(n).alias("n")))
+
+    starts = [sized(long_starts, SPAN), *(sized(places(n), n) for n in short)]
     spans = hashed.select("key", "words", F.explode(F.concat(*starts)).alias("at")).select(
         "key", "at.s", "at.n", F.array_join(F.slice("words", F.col("at.s") + 1, F.col("at.n")), " ").alias("window")
     )
