@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recut.llm import packing, quality_rules, secrets, tokens
+from recut.llm import chat, classifier, packing, quality_rules, secrets, tokens, urls
 from recut.llm.common import table
 from recut.llm.decontamination import decontaminate
 from recut.llm.simhash import near_duplicates
@@ -15,6 +15,31 @@ from recut.llm.simhash import near_duplicates
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_rule_ensemble(spark: SparkSession, root: str) -> DataFrame:
+    scored = classifier.classify(table(spark, root, "documents"), table(spark, root, "labels"))
+    return scored.select(F.col("id").alias("doc_id"), "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op2_snapshot_collapse(spark: SparkSession, root: str) -> DataFrame:
+    return chat.collapse(table(spark, root, "conversations")).withColumnRenamed("conv", "conv_id")
+
+
+OP2_SQL = f"""
+WITH turns AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS position
+  FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL)),
+whole AS (SELECT conv_id, count(*) AS n, list({{'r': role, 't': text}} ORDER BY position) AS said FROM turns GROUP BY conv_id),
+inner_prefixes AS (
+  SELECT DISTINCT k, CAST(said[1 : k] AS VARCHAR) AS prefix FROM (SELECT said, unnest(range(1, n)) AS k FROM whole)),
+kept AS (
+  SELECT n, conv_id FROM (SELECT n, CAST(said AS VARCHAR) AS prefix, min(conv_id) AS conv_id FROM whole GROUP BY ALL) w
+  WHERE NOT exists (SELECT 1 FROM inner_prefixes i WHERE i.k = w.n AND i.prefix = w.prefix))
+SELECT conv_id, (position - 1) // {chat.PART} AS part, any_value(n) AS n_turns, count(*) AS turns,
+       string_agg('<|' || coalesce(role, 'user') || '|>' || chr(10) || coalesce(text, '') || chr(10) || '<|end|>' || chr(10), '' ORDER BY position) AS text
+FROM turns JOIN kept USING (conv_id) GROUP BY conv_id, part
+"""
+
+
 def op3_owned_secrets(spark: SparkSession, root: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, root, "documents"))
     of_kind = lambda rank: F.size(F.filter("base", lambda x: x["rank"] == rank)).cast("long")
@@ -172,6 +197,12 @@ FROM doc_words LEFT JOIN covered USING (doc_id) LEFT JOIN listed USING (doc_id)
 """
 
 
+def op9_url_filter(spark: SparkSession, root: str) -> DataFrame:
+    pages = table(spark, root, "pages")
+    judged = urls.judge_urls(pages, urls.labelled_sample(pages))
+    return judged.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
 def op10_golay_near_duplicates(spark: SparkSession, root: str) -> DataFrame:
     found = near_duplicates(table(spark, root, "documents"))
     return found.select(
@@ -183,17 +214,21 @@ def op10_golay_near_duplicates(spark: SparkSession, root: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_rule_ensemble": op1_rule_ensemble,
+        "op2_snapshot_collapse": op2_snapshot_collapse,
         "op3_owned_secrets": op3_owned_secrets,
         "op8_controlled_quality_rules": op8_controlled_quality_rules,
         "op4_winnowed_benchmark": op4_winnowed_benchmark,
         "op5_whole_token_counts": op5_whole_token_counts,
         "op7_complement_packing": op7_complement_packing,
+        "op9_url_filter": op9_url_filter,
         "op10_golay_near_duplicates": op10_golay_near_duplicates,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_snapshot_collapse": OP2_SQL,
         "op3_owned_secrets": OP3_SQL,
         "op4_winnowed_benchmark": OP4_SQL,
         "op8_controlled_quality_rules": OP8_SQL,
