@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recut.llm import chat, classifier, packing, quality_rules, secrets, tokens, urls
+from recut.llm import chat, classifier, packing, quality_rules, secrets, suffixes, tokens, urls
 from recut.llm.common import table
 from recut.llm.decontamination import decontaminate
 from recut.llm.simhash import near_duplicates
@@ -102,6 +102,10 @@ def op5_whole_token_counts(spark: SparkSession, root: str) -> DataFrame:
     return counted.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op6_repeated_strings(spark: SparkSession, root: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, root, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op7_complement_packing(spark: SparkSession, root: str) -> DataFrame:
     return packing.pack(table(spark, root, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -220,6 +224,7 @@ def queries() -> dict[str, Query]:
         "op8_controlled_quality_rules": op8_controlled_quality_rules,
         "op4_winnowed_benchmark": op4_winnowed_benchmark,
         "op5_whole_token_counts": op5_whole_token_counts,
+        "op6_repeated_strings": op6_repeated_strings,
         "op7_complement_packing": op7_complement_packing,
         "op9_url_filter": op9_url_filter,
         "op10_golay_near_duplicates": op10_golay_near_duplicates,
