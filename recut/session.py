@@ -18,6 +18,8 @@ SETTINGS = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
     """A single-machine session for tests and the benchmark."""
@@ -60,9 +62,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and read them back.
 
     They survive the loss of any executor, later steps read only the columns they need, and the
-    optimizer knows the true size, which decides what may be broadcast.
+    optimizer knows the true size, which decides what may be broadcast.  Shuffle files of the write
+    are of no more use after it and go at its end.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/recut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
