@@ -17,6 +17,11 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """Each row as one struct ``row``, so that no column of it can clash with what an operator adds."""
+    return docs.select(F.struct("*").alias("row"))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and use it in ``body`` as often as needed."""
     return F.transform(F.array(value), body)[0]

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recut.llm.common import ascii_lower, let, positions
+from recut.llm.common import ascii_lower, let, packed, positions
 from recut.session import cut_lineage
 
 SPAN = 10
@@ -161,6 +161,6 @@ def decontaminate(
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no window of the benchmark occurs, whole."""
-    hit = cut_lineage(decontaminate(docs, benchmark).where("n_hit > 0").select(F.col("key").alias("_key")).distinct())
-    keyed = docs.withColumn("_key", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    return keyed.join(hit, "_key", "left_anti").select(*docs.columns)
+    hit = cut_lineage(decontaminate(docs, benchmark).where("n_hit > 0").select("key").distinct())
+    keyed = packed(docs).withColumn("key", F.md5(F.coalesce(F.col("row.text"), F.lit("")).cast("binary")))
+    return keyed.join(hit.hint("merge"), "key", "left_anti").select("row.*")

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recut.llm.common import let, positions
+from recut.llm.common import let, packed, positions
 from recut.session import cut_lineage
 
 SPACES = r"[\x20\x09-\x0D]+"
@@ -181,7 +181,6 @@ def passing(docs: DataFrame, labels: DataFrame) -> DataFrame:
     is one expression that binds the counts, because a filter is moved below projections with all it refers to.
     """
     cut = thresholds(cut_lineage(statistics(docs)), labels)
-    cut = cut_lineage(cut.select(F.col("stratum").alias("_stratum"), F.col("cutoffs").alias("_cutoffs")))
-    text, part = plain("text", None)
-    judged = docs.withColumn("_stratum", part).join(cut, "_stratum", "left")
-    return judged.where(let(measures(text), lambda m: kept(m, F.col("_cutoffs")))).select(*docs.columns)
+    text, part = plain("row.text", F.col("row.lang"))
+    judged = packed(docs).withColumn("stratum", part).join(cut_lineage(cut), "stratum", "left")
+    return judged.where(let(measures(text), lambda m: kept(m, F.col("cutoffs")))).select("row.*")

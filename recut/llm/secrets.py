@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recut.llm.common import packed
 from recut.session import cut_lineage
 
 
@@ -169,11 +170,12 @@ def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every finding replaced, and n_chars to match; texts without one stay as they are."""
-    found = find_secrets(docs).where(F.size("spans") > 0).select(F.col("key").alias("_key"), F.col("spans").alias("_spans"))
-    found = cut_lineage(found.dropDuplicates(["_key"]))
-    keyed = docs.withColumn("_key", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("_spans")))
-    changed = keyed.join(found, "_key", "left").withColumn("text", text)
+    found = find_secrets(docs).where(F.size("spans") > 0).select("key", "spans")
+    found = cut_lineage(found.dropDuplicates(["key"]))
+    keyed = packed(docs).withColumn("key", F.md5(F.coalesce(F.col("row.text"), F.lit("")).cast("binary")))
+    clear = redacted(F.col("row.text"), F.col("spans"))
+    changed = F.col("row").withField("text", clear)
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return changed.select(*docs.columns)
+        changed = changed.withField("n_chars", F.char_length(clear).cast(docs.schema["n_chars"].dataType))
+    rows = keyed.join(found.hint("merge"), "key", "left").select(F.when(F.col("spans").isNull(), F.col("row")).otherwise(changed).alias("row"))
+    return rows.select("row.*")

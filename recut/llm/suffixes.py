@@ -141,7 +141,7 @@ def two_stage_order(text: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     step = np.sign(np.append(text[1:], 0).astype(np.int16) - text)
     known = np.where(step != 0, np.arange(n), n - 1)
     known = np.minimum.accumulate(known[::-1])[::-1]
-    small = step[known] > 0
+    small = (step[known] > 0) & (text != 0)
     # A large suffix is put by its successor: go on to the first small or ending position after each wanted one.
     stop = np.where(small | (text == 0), np.arange(n), n - 1)
     stop = np.minimum.accumulate(stop[::-1])[::-1]

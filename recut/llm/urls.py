@@ -82,13 +82,15 @@ def labelled_sample(pages: DataFrame, url_col: str = "url", most: int = LABELLED
     """(url, label): a small labelled table, 1 wanted and 0 unwanted.
 
     One address for each word of UNWANTED and WANTED, and a bounded sample of the addresses at hand, those with the
-    smallest hashes, labelled by whether a part of the host is an unwanted word.  The model is asked for the others:
-    parts that only resemble such words.
+    smallest hashes, labelled by whether the host has an unwanted word as a part, or a longer one within a part.  The
+    model answers for all the others.
     """
     known = [(f"http://www.{w}.test/", 0.0) for w in UNWANTED] + [(f"http://www.{w}.test/", 1.0) for w in WANTED]
     sample = pages.select(F.col(url_col).alias("url")).where("url is not null").distinct().orderBy(F.xxhash64("url"), "url").limit(most)
-    parts = F.split(host_of(F.col("url")), "[.-]")
-    label = F.when(F.arrays_overlap(parts, F.array(*(F.lit(w) for w in UNWANTED))), 0.0).otherwise(1.0)
+    host = host_of(F.col("url"))
+    whole = F.arrays_overlap(F.split(host, "[.-]"), F.array(*(F.lit(w) for w in UNWANTED)))
+    within = host.rlike("|".join(w for w in UNWANTED if len(w) > 4))
+    label = F.when(whole | within, 0.0).otherwise(1.0)
     fixed = pages.sparkSession.createDataFrame(known, "url string, label double")
     return fixed.unionByName(sample.select("url", label.alias("label")))
 
