@@ -2,8 +2,8 @@
 
 Texts become pieces of at most ``CAPACITY`` tokens.  Only how many pieces there are of each length decides how they
 are packed, so the plan is made from a table of at most ``CAPACITY`` counts: for each length, from the longest down,
-the gap it leaves is looked up among single lengths, sums of two and sums of three that are still available, and
-exact combinations are taken as often as their supply allows; what is left is packed best-fit, longest first, a
+the gap it leaves is looked up among single lengths, then sums of two, then sums of three that are still available,
+and exact combinations are taken as often as their supply allows; what is left is packed best-fit, longest first, a
 whole group of equal sequences at a time.  The plan is a list of slots (length, ranks from, sequences from, offset),
 whose size depends on the capacity and not on the corpus.  Each piece finds its slot by its rank among the pieces of
 its length, which Spark counts in two steps, within tasks and then across them.
@@ -91,11 +91,12 @@ class Complements:
         self.sums = np.rint(np.fft.irfft(np.fft.rfft(have, 2 * have.size) ** 2, 2 * have.size))[: have.size] > 0
         self.stale = False
 
-    def find(self, gap: int) -> tuple[int, ...] | None:
-        if self.supply[gap] > 0:
-            return (gap,)
-        if pair := self._pair(gap):
-            return pair
+    def find(self, gap: int, parts: int) -> tuple[int, ...] | None:
+        """Lengths that fill the gap, ``parts`` of them."""
+        if parts == 1:
+            return (gap,) if self.supply[gap] > 0 else None
+        if parts == 2:
+            return self._pair(gap)
         if self.stale:
             self._index()
         firsts = np.flatnonzero((self.supply[1:gap] > 0) & self.sums[gap - 1 : 0 : -1]) + 1
@@ -108,26 +109,28 @@ class Complements:
         return None
 
 
-def exact_fills(supply: np.ndarray, capacity: int) -> list[Pattern]:
-    """Take combinations of up to four lengths that fill the capacity, while they last; ``supply`` is used up."""
+def exact_fills(supply: np.ndarray, capacity: int, most: int) -> list[Pattern]:
+    """Take combinations that fill the capacity while they last: a length with one other, then with two, then three,
+    up to ``most``.  ``supply`` is used up."""
     found: list[Pattern] = []
     if supply[capacity]:
         found.append(Pattern((capacity,), int(supply[capacity])))
         supply[capacity] = 0
     index = Complements(supply)
-    for length in range(capacity - 1, 0, -1):
-        index.stale = True
-        while supply[length]:
-            supply[length] -= 1
-            rest = index.find(capacity - length)
-            supply[length] += 1
-            if rest is None:
-                break
-            lengths = (length, *rest)
-            times = min(int(supply[x]) // lengths.count(x) for x in lengths)
-            for x in lengths:
-                supply[x] -= times
-            found.append(Pattern(lengths, times))
+    for parts in range(1, most + 1):
+        for length in range(capacity - 1, 0, -1):
+            index.stale = True
+            while supply[length]:
+                supply[length] -= 1
+                rest = index.find(capacity - length, parts)
+                supply[length] += 1
+                if rest is None:
+                    break
+                lengths = (length, *rest)
+                times = min(int(supply[x]) // lengths.count(x) for x in lengths)
+                for x in lengths:
+                    supply[x] -= times
+                found.append(Pattern(lengths, times))
     return found
 
 
@@ -177,8 +180,15 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
     supply = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in counts.items():
         supply[length] = n
+
+    def packed(most: int) -> list[Pattern]:
+        left = supply.copy()
+        return exact_fills(left, capacity, most) + best_fit(left, capacity)
+
+    # Long combinations use up short lengths that might have filled other gaps: the fewest sequences win.
+    patterns = min((packed(most) for most in (3, 2, 1, 0)), key=lambda ps: sum(p.times for p in ps))
     slots, used, sequence = [], [0] * (capacity + 1), 0
-    for pattern in exact_fills(supply, capacity) + best_fit(supply, capacity):
+    for pattern in patterns:
         offset = 0
         for length in pattern.lengths:
             slots.append((length, used[length], sequence, offset))
