@@ -38,10 +38,13 @@ def dot(a: Column, b: Column) -> Column:
 
 def unit(vec: Column) -> Column:
     """L2-normalised vector; a vector of almost no length is left as it is."""
-    norm = F.sqrt(dot(vec, vec))
-    return F.when(norm < 1e-8, F.transform(vec, lambda x: x.cast("double"))).otherwise(
-        F.transform(vec, lambda x: x.cast("double") / norm)
-    )
+
+    def divided(norm: Column) -> Column:
+        short = F.transform(vec, lambda x: x.cast("double"))
+        return F.when(norm < 1e-8, short).otherwise(F.transform(vec, lambda x: x.cast("double") / norm))
+
+    # As the variable of an outer array the norm is computed once, not once for every element.
+    return F.transform(F.array(F.sqrt(dot(vec, vec))), divided)[0]
 
 
 def _sum_vectors(vectors: Column) -> Column:
@@ -364,11 +367,11 @@ def ann_votes(
     )
 
 
-def pack_frames(local: DataFrame, keys: Sequence[str], limit: int = 600) -> DataFrame:
-    """One row per frame with its evenly subsampled descriptors, at most ``limit``."""
+def pack_frames(local: DataFrame, keys: Sequence[str], limit: int | None = None) -> DataFrame:
+    """One row per frame with all its descriptors; with a ``limit``, evenly subsampled to at most so many."""
     from recut.operators.runs import even_subsample
 
-    kept = even_subsample(local, [*keys, "shot_no", "frame_pos"], ["kp_no"], limit)
+    kept = local if limit is None else even_subsample(local, [*keys, "shot_no", "frame_pos"], ["kp_no"], limit)
     return kept.groupBy(*keys, "shot_no", "frame_pos").agg(
         F.array_sort(F.collect_list(F.struct("kp_no", "x", "y", *WORDS))).alias("descs")
     )
@@ -389,15 +392,29 @@ def ratio_test_matches(pairs: DataFrame, ref_frames: DataFrame, movie_frames: Da
     right = movie_frames.select(*keys, F.col("shot_no").alias("movie_no"), F.col("frame_pos").alias("movie_frame"), F.col("descs").alias("__b"))
     joined = pairs.select(*keys, "ref_no", "movie_no").distinct().join(left, [*keys, "ref_no"]).join(right, [*keys, "movie_no"])
 
+    none = F.lit(None).cast("int")
+    place = F.lit(None).cast("bigint")
+    unseen = F.struct(none.alias("d1"), none.alias("d2"), place.alias("x"), place.alias("y"))
+
     def nearest(a: Column) -> Column:
-        ranked = F.transform(
-            F.col("__b"), lambda b, i: F.struct(_hamming(a, b).alias("d"), i.alias("i"), b["x"].alias("x"), b["y"].alias("y"))
+        """One pass over the other frame that carries the two smallest distances and the place of the first."""
+        measured = F.transform(
+            F.col("__b"), lambda b: F.struct(_hamming(a, b).cast("int").alias("d"), b["x"].cast("bigint").alias("x"), b["y"].cast("bigint").alias("y"))
         )
-        best = F.array_min(ranked)
-        second = F.array_min(F.filter(ranked, lambda r: r["i"] != best["i"]))
-        return F.struct(
-            (best["x"] - a["x"]).alias("dx"), (best["y"] - a["y"]).alias("dy"), best["d"].alias("d1"), second["d"].alias("d2")
+
+        def step(best: Column, b: Column) -> Column:
+            closer = F.struct(b["d"].alias("d1"), best["d1"].alias("d2"), b["x"].alias("x"), b["y"].alias("y"))
+            second = F.struct(best["d1"].alias("d1"), b["d"].alias("d2"), best["x"].alias("x"), best["y"].alias("y"))
+            return (
+                F.when(best["d1"].isNull() | (b["d"] < best["d1"]), closer)
+                .when(best["d2"].isNull() | (b["d"] < best["d2"]), second)
+                .otherwise(best)
+            )
+
+        shift = lambda best: F.struct(
+            (best["x"] - a["x"]).alias("dx"), (best["y"] - a["y"]).alias("dy"), best["d1"].alias("d1"), best["d2"].alias("d2")
         )
+        return F.aggregate(measured, unseen, step, shift)
 
     matches = F.filter(F.transform("__a", nearest), lambda m: m["d1"] < RATIO * m["d2"])
     return joined.select(*keys, "ref_no", "movie_no", "ref_frame", "movie_frame", matches.alias("matches"))
@@ -445,7 +462,9 @@ def duration_ratio(a: Column, b: Column) -> Column:
 
 def fine_score(clip: Column, a: Column, b: Column, durations: Column) -> Column:
     """Pooled similarity, mean of best frame matches in both directions, and duration agreement."""
-    mean = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, v: s + v) / F.size(xs)
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
+    add = lambda s, v: F.struct((s["sum"] + v).alias("sum"), (s["n"] + 1).alias("n"))
+    mean = lambda xs: F.aggregate(xs, start, add, lambda s: s["sum"] / s["n"])
     rows = F.transform(a, lambda x: F.array_max(F.transform(b, lambda y: dot(x, y))))
     cols = F.transform(b, lambda y: F.array_max(F.transform(a, lambda x: dot(x, y))))
     return 0.45 * clip + 0.45 * ((mean(rows) + mean(cols)) / 2.0) + 0.10 * durations

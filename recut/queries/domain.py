@@ -22,8 +22,8 @@ def _micros_since_2024(df: DataFrame, name: str) -> Column:
     return F.unix_micros(F.col(name)) - F.lit(1_704_067_200_000_000)
 
 
-def intervals(t: Tables) -> DataFrame:
-    """Events as time-coded intervals of ten media files."""
+def intervals(t: Tables, *more: str) -> DataFrame:
+    """Events as time-coded intervals of ten media files, with more columns of the events if asked."""
     events = t.events
     start = F.floor(_micros_since_2024(events, "ts") / 100_000).cast("bigint")
     length = F.floor(F.col("value") * 500 + 0.5).cast("bigint")
@@ -33,6 +33,7 @@ def intervals(t: Tables) -> DataFrame:
         "event_type",
         start.alias("start_ms"),
         (start + length).alias("end_ms"),
+        *more,
     )
 
 
@@ -183,8 +184,7 @@ def frame_scores(t: Tables) -> DataFrame:
     """Events of a media file in time order are its frames; values stand for difference scores."""
     from recut.operators.ordered import TIME_SLICE_MS, position, scan
 
-    raw = intervals(t).join(t.events.select("event_id", "value"), "event_id")
-    numbered = scan(raw, ["media_id"], ["start_ms", "event_id"], [position("frame_no")], width=TIME_SLICE_MS)
+    numbered = scan(intervals(t, "value"), ["media_id"], ["start_ms", "event_id"], [position("frame_no")], width=TIME_SLICE_MS)
     return numbered.select(
         "media_id",
         "frame_no",

@@ -206,11 +206,11 @@ def _(t):
     + """
 SELECT media_id, start_frame, end_frame, CAST(floor(start_frame / 25.0::DOUBLE * 1000 + 0.5) AS BIGINT) AS start_ms,
   CAST(floor(least(30.0::DOUBLE, (end_frame + 1) / 25.0::DOUBLE) * 1000 + 0.5) AS BIGINT) AS end_ms
-FROM scenes WHERE start_frame < 700
+FROM scenes
 """,
 )
 def _(t):
     media = t.frame_scores.select("media_id").distinct().select("media_id", F.lit(25.0).alias("fps"), F.lit(30.0).alias("duration"))
-    timed = shots.shots_from_scenes(_scenes(t).where("start_frame < 700"), media, ["media_id"])
+    timed = shots.shots_from_scenes(_scenes(t), media, ["media_id"])
     ms = lambda c: F.floor(F.col(c) * 1_000 + 0.5).cast("bigint").alias(f"{c}_ms")
     return timed.select("media_id", "start_frame", "end_frame", ms("start"), ms("end"))

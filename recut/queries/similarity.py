@@ -119,16 +119,21 @@ hash_counts AS (SELECT project_id, shot_no, side, hash, count(*) AS n FROM (
 )
 
 
-@query(
-    "descriptor_hash_retrieve",
-    "J11 J12",
+HASH_TOP = 30
+HASH_CANDIDATES_SQL = (
     ctes(LOCAL_SQL, LOCAL_COUNTS_SQL)
     + TFIDF_SQL.format(
         counts="hash_counts", movie="side = 'movie'", ref="c.side = 'ref'", universe="(SELECT DISTINCT shot_no FROM local WHERE side = 'movie')"
     )
-    + "SELECT ref_no, movie_no, CAST(floor(score * 1000000 + 0.5) AS BIGINT) AS score_e6 FROM sc WHERE score > 0",
+    + f""",
+cand AS (SELECT ref_no, movie_no, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY ref_no ORDER BY score DESC, movie_no DESC) AS rank FROM sc WHERE score > 0) WHERE rank <= {HASH_TOP})
+"""
 )
-def _(t):
+
+
+def _hash_candidates(t):
+    """The best source shots of each reference shot by shared descriptor hashes, and both sides' weights."""
     local = t.local_features
     movie = local.where("side = 'movie'")
     shots = movie.select("project_id", "shot_no").distinct()
@@ -137,8 +142,16 @@ def _(t):
     idf = sim.inverse_frequencies(source, shots, P)
     totals = shots.groupBy(*P).agg(F.count(F.lit(1)).alias("__total"))
     index, queries = sim.tfidf_weights(source, idf, P), sim.tfidf_weights(asked, idf, P, totals)
-    best = sim.tfidf_top_k(queries, index, P, 10_000)
-    pairs = sim.tfidf_pair_scores(best, queries, index, P)
+    return sim.tfidf_top_k(queries, index, P, HASH_TOP), queries, index
+
+
+@query(
+    "descriptor_hash_retrieve",
+    "J11 J12",
+    HASH_CANDIDATES_SQL + "SELECT ref_no, movie_no, CAST(floor(score * 1000000 + 0.5) AS BIGINT) AS score_e6 FROM cand",
+)
+def _(t):
+    pairs = sim.tfidf_pair_scores(*_hash_candidates(t), P)
     return pairs.select("ref_no", "movie_no", e6(F.round("local_raw", 9), "score_e6"))
 
 
@@ -164,7 +177,7 @@ def _(t):
 MATCH_SQL = """,
 d AS (SELECT r.shot_no AS ref_no, m.shot_no AS movie_no, r.frame_pos AS ref_frame, m.frame_pos AS movie_frame, r.kp_no AS q, m.kp_no AS c, m.x - r.x AS dx, m.y - r.y AS dy,
   bit_count(xor(r.w0, m.w0)) + bit_count(xor(r.w1, m.w1)) + bit_count(xor(r.w2, m.w2)) + bit_count(xor(r.w3, m.w3)) AS dist
-  FROM local r JOIN local m ON r.project_id = m.project_id WHERE r.side = 'ref' AND m.side = 'movie'),
+  FROM cand JOIN local r ON r.shot_no = cand.ref_no JOIN local m ON m.shot_no = cand.movie_no AND r.project_id = m.project_id),
 k AS (SELECT *, row_number() OVER w AS rn, lead(dist) OVER w AS d2 FROM d WINDOW w AS (PARTITION BY ref_no, movie_no, ref_frame, movie_frame, q ORDER BY dist, c)),
 good AS (SELECT * FROM k WHERE rn = 1 AND dist < 0.75::DOUBLE * d2)
 """
@@ -173,16 +186,14 @@ good AS (SELECT * FROM k WHERE rn = 1 AND dist < 0.75::DOUBLE * d2)
 def _matches(t):
     local = t.local_features
     movie, ref = local.where("side = 'movie'"), local.where("side = 'ref'")
-    pairs = ref.select("project_id", F.col("shot_no").alias("ref_no")).distinct().join(
-        movie.select("project_id", F.col("shot_no").alias("movie_no")).distinct(), "project_id"
-    )
+    pairs = _hash_candidates(t)[0].select("project_id", "ref_no", "movie_no")
     return sim.ratio_test_matches(pairs, sim.pack_frames(ref, P), sim.pack_frames(movie, P), P)
 
 
 @query(
     "ratio_test_matches",
     "J14",
-    ctes(LOCAL_SQL)
+    HASH_CANDIDATES_SQL
     + MATCH_SQL
     + """
 SELECT ref_no, movie_no, ref_frame, movie_frame, count(*) AS good, CAST(sum(dx) AS BIGINT) AS dx_sum, CAST(sum(dist) AS BIGINT) AS dist_sum FROM good GROUP BY ALL
@@ -209,7 +220,7 @@ geo AS (SELECT ref_no, movie_no, coalesce(inl, 0) AS inliers, coalesce(good, 0)
 @query(
     "geometry_consensus",
     "J15",
-    ctes(LOCAL_SQL)
+    HASH_CANDIDATES_SQL
     + MATCH_SQL
     + GEOMETRY_SQL
     + "SELECT ref_no, movie_no, inliers, good_matches, CAST(floor(geometry * 1000000 + 0.5) AS BIGINT) AS geometry_e6 FROM geo",
@@ -347,7 +358,7 @@ def _(t):
     "J25 P27",
     ctes(LOCAL_SQL)
     + """,
-f AS (SELECT l.shot_no, l.side, l.desc_no, l.w1 AS h, CAST(e.embedding AS DOUBLE[]) AS v FROM local l JOIN embeddings e ON e.vec_id = l.shot_no * 10 + l.desc_no WHERE l.desc_no < 4),
+f AS (SELECT l.shot_no, l.side, l.desc_no, l.w1 AS h, CAST(e.embedding AS DOUBLE[]) AS v FROM local l JOIN embeddings e ON e.vec_id = l.shot_no * 10 + l.desc_no),
 c AS (SELECT a.shot_no AS ref_no, b.shot_no AS movie_no, a.desc_no AS fa, b.desc_no AS fb, ((64 - bit_count(xor(a.h, b.h))) * 10000 + 32) // 64 AS hs,
   list_dot_product(a.v, b.v) - list_sum(a.v) * list_sum(b.v) / 64 AS cov,
   (list_dot_product(a.v, a.v) - list_sum(a.v) * list_sum(a.v) / 64) * (list_dot_product(b.v, b.v) - list_sum(b.v) * list_sum(b.v) / 64) AS vv
@@ -360,8 +371,7 @@ SELECT ref_no, movie_no, CAST((max(sc) * 6 * count(*) + sum(sc) * 4 + count(*) *
 )
 def _(t):
     frames = (
-        t.local_features.where("desc_no < 4")
-        .withColumn("vec_id", F.col("shot_no") * 10 + F.col("desc_no"))
+        t.local_features.withColumn("vec_id", F.col("shot_no") * 10 + F.col("desc_no"))
         .join(t.embeddings.select("vec_id", F.col("embedding").alias("hist")), "vec_id")
         .select("project_id", "shot_no", "side", F.col("desc_no").alias("frame_pos"), F.col("w1").alias("dhash"), "hist")
     )
