@@ -13,10 +13,12 @@ ASCII signs and spaces, for which both libraries part words alike, go that way,
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 from array import array
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import public_tokenizers
 import pyarrow as pa
@@ -116,15 +118,19 @@ def encoder() -> Callable[[str], array]:
     import tiktoken
     from tokenizers import Tokenizer
 
-    named = Tokenizer.from_file(public_tokenizers.path(ID_MODEL))
-    special = [t.content for t in named.get_added_tokens_decoder().values()]
+    with open(public_tokenizers.path(ID_MODEL), encoding="utf-8") as file:
+        special = [t["content"] for t in json.load(file)["added_tokens"]]
     with open(public_tokenizers.path(ID_RANKS), "rb") as file:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
     quick = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @cache
+    def named() -> Tokenizer:  # loaded where a text asks for it
+        return Tokenizer.from_file(public_tokenizers.path(ID_MODEL))
+
     def ids(text: str) -> array:
         if PLAIN.fullmatch(text) and not any(s in text for s in special):
             return array("I", quick.encode_ordinary(text))
-        return array("I", named.encode(text, add_special_tokens=False).ids)
+        return array("I", named().encode(text, add_special_tokens=False).ids)
 
     return ids

@@ -61,6 +61,15 @@ def even_subsample(
     )
 
 
+def first_middle_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, width: float = ORDINAL_SLICE) -> DataFrame:
+    """The first, the middle (rounded up) and the last row of each key; fewer where they coincide."""
+    numbered = scan(df, keys, order, [position("__pos")], width=width)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    middle = F.floor(F.col("__n") / 2) + 1
+    picked = (F.col("__pos") == 1) | (F.col("__pos") == middle) | (F.col("__pos") == F.col("__n"))
+    return numbered.join(sizes, list(keys)).where(picked).drop("__pos", "__n")
+
+
 def candidate_ranks(
     df: DataFrame, keys: Sequence[str], score: str, selected: Column, tie: str
 ) -> DataFrame:

@@ -159,11 +159,32 @@ UNION ALL SELECT media_id, start_ms // 10 * 10, end_ms // 10 * 10, text FROM sub
 """,
 )
 def _(t):
-    files = out.join_blocks(out.ass_blocks(_bilingual(t), ["media_id"], ORDER, out.LAYOUTS[1]), ["media_id"])
-    parsed = src.parse_ass(files.select(F.col("media_id").cast("string").alias("path"), F.concat(F.lit("[Events]\n"), "content").alias("content")))
+    files = out.ass_documents(out.ass_blocks(_bilingual(t), ["media_id"], ORDER, out.LAYOUTS[1]), ["media_id"])
+    parsed = src.parse_ass(files.select(F.col("media_id").cast("string").alias("path"), "content"))
     return parsed.select(F.col("path").cast("bigint").alias("media_id"), "start_ms", "end_ms", "text")
 
 
+@query(
+    "ass_layouts_round_trip",
+    "A8 B4",
+    MEDIA
+    + """
+, l AS (SELECT *, sub_no % 3 = 0 AS two FROM subtitles)
+SELECT media_id, 0 AS layout, start_ms // 10 * 10 AS start_ms, 'translated' AS text FROM l WHERE two
+UNION ALL SELECT media_id, 0, start_ms // 10 * 10, text FROM l
+UNION ALL SELECT media_id, 2, start_ms // 10 * 10, text FROM l
+UNION ALL SELECT media_id, 3, start_ms // 10 * 10, CASE WHEN two THEN 'translated' ELSE text END FROM l
+""",
+)
+def _(t):
+    parts = []
+    for layout in (0, 2, 3):
+        files = out.ass_documents(out.ass_blocks(_bilingual(t), ["media_id"], ORDER, out.LAYOUTS[layout]), ["media_id"])
+        parsed = src.parse_ass(files.select(F.col("media_id").cast("string").alias("path"), "content"))
+        parts.append(parsed.select(F.col("path").cast("bigint").alias("media_id"), F.lit(layout).alias("layout"), "start_ms", "text"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query(
     "bilingual_json_round_trip",
     "A9 B3",
@@ -230,6 +251,130 @@ def _(t):
     return shots.select(F.col("project_id").cast("bigint").alias("media_id"), "shot_no", "shot_id", "start_ms", "end_ms", "duration_ms")
 
 
+def _stage_rows(t, body):
+    """Orders as the rows of a stage, a customer's orders as its project; line items as their nested parts."""
+    part = F.struct(
+        "l_linenumber",
+        F.col("l_partkey").cast("string").alias("shot"),
+        (F.col("l_quantity") / 8).alias("a"),
+        (F.col("l_quantity") / 8 + F.col("l_linenumber")).alias("b"),
+    )
+    parts = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    rows = t.orders.join(parts, F.col("o_orderkey") == F.col("l_orderkey"))
+    key = F.col("o_orderkey").cast("string")
+    return rows.select(F.col("o_custkey").cast("string").alias("project_id"), F.col("o_orderkey").alias("row_no"), *body(key))
+
+
+def _stage_again(t, kind, body):
+    """Rows written as one document to a project and read again."""
+    written = out.stage_documents(_stage_rows(t, body), ["project_id"], ["row_no"], docs.STAGES[kind][0])
+    return docs.parse_stage(written, kind)
+
+
+def _each(make):
+    return F.transform("parts", make)
+
+
+def _clips(name):
+    return _each(
+        lambda p: F.struct(
+            p["shot"].alias("clip_id"), p["a"].alias("movie_start"), p["b"].alias("movie_end"), F.array(p["shot"]).alias("movie_shot_ids")
+        )
+    ).alias(name)
+
+
+STAGE_PARTS = """
+WITH part AS (SELECT l_orderkey AS k, l_linenumber AS n, CAST(l_partkey AS VARCHAR) AS shot, l_quantity / 8 AS a, l_quantity / 8 + l_linenumber AS b,
+                     row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, CAST(l_partkey AS VARCHAR), l_quantity) - 1 AS pos FROM lineitem),
+o AS (SELECT CAST(o_custkey AS VARCHAR) AS project_id, CAST(o_orderkey AS VARCHAR) AS id, o_orderkey, o_orderpriority, o_totalprice FROM orders)
+"""
+STAGE_CLIPS = "pos, shot AS clip_id, a AS movie_start, b AS movie_end"
+_CLIP_COLUMNS = ("clip_pos AS pos", "clip.clip_id", "clip.movie_start", "clip.movie_end")
+
+
+def _exploded(rows, array, *columns):
+    return rows.selectExpr("*", f"posexplode({array}) AS (clip_pos, clip)").selectExpr("project_id", *columns)
+
+
+@query(
+    "script_mapping_round_trip",
+    "A1 B1",
+    STAGE_PARTS
+    + "SELECT project_id, id AS segment_id, o_orderpriority AS old_text, o_totalprice AS ref_end, pos, a AS range_start, shot AS ref_shot FROM o JOIN part ON k = o_orderkey",
+)
+def _(t):
+    ranges = _each(lambda p: F.struct(p["a"].alias("start"), p["b"].alias("end"), p["shot"].alias("source_ref_shot_id")))
+    whole = F.struct(F.lit(0.0).alias("start"), F.col("o_totalprice").alias("end"))
+    rows = _stage_again(
+        t, "script_mapping",
+        lambda key: (key.alias("segment_id"), F.col("o_orderpriority").alias("old_text"), whole.alias("ref_time_range"), ranges.alias("movie_time_ranges")),
+    )
+    return _exploded(
+        rows.withColumnRenamed("pos", "doc_pos"), "movie_time_ranges",
+        "segment_id", "old_text", "ref_time_range.end AS ref_end", "clip_pos AS pos", "clip.start AS range_start", "clip.source_ref_shot_id AS ref_shot",
+    )
+
+
+@query(
+    "rewritten_script_round_trip",
+    "A1 B1",
+    STAGE_PARTS
+    + "SELECT project_id, id AS segment_id, 'new ' || o_orderpriority AS new_text, pos, shot AS unit_id, n % 2 = 0 AS keeps FROM o JOIN part ON k = o_orderkey",
+)
+def _(t):
+    units = _each(lambda p: F.struct(p["shot"].alias("unit_id"), (p["l_linenumber"] % 2 == 0).alias("keep_original_audio")))
+    rows = _stage_again(
+        t, "rewritten_script", lambda key: (key.alias("segment_id"), F.concat(F.lit("new "), "o_orderpriority").alias("new_text"), units.alias("units"))
+    )
+    return _exploded(
+        rows.withColumnRenamed("pos", "doc_pos"), "units", "segment_id", "new_text", "clip_pos AS pos", "clip.unit_id", "clip.keep_original_audio AS keeps"
+    )
+
+
+@query(
+    "final_timeline_round_trip",
+    "A1 B1",
+    STAGE_PARTS + f"SELECT project_id, id AS item_id, o_orderpriority AS narration, o_totalprice AS timeline_end, {STAGE_CLIPS} FROM o JOIN part ON k = o_orderkey",
+)
+def _(t):
+    rows = _stage_again(
+        t, "final_timeline",
+        lambda key: (key.alias("item_id"), F.col("o_orderpriority").alias("narration"), F.col("o_totalprice").alias("timeline_end"), _clips("video_clips")),
+    )
+    return _exploded(rows.withColumnRenamed("pos", "doc_pos"), "video_clips", "item_id", "narration", "timeline_end", *_CLIP_COLUMNS)
+
+
+@query(
+    "rebuild_timeline_round_trip",
+    "A1 B1",
+    STAGE_PARTS + f"SELECT project_id, id AS item_id, o_orderpriority AS warning, {STAGE_CLIPS} FROM o JOIN part ON k = o_orderkey",
+)
+def _(t):
+    rows = _stage_again(
+        t, "rebuild_timeline", lambda key: (key.alias("item_id"), F.array("o_orderpriority").alias("warnings"), _clips("video_clips"))
+    )
+    return _exploded(rows.withColumnRenamed("pos", "doc_pos"), "video_clips", "item_id", "warnings[0] AS warning", *_CLIP_COLUMNS)
+
+
+@query(
+    "breakdown_round_trip",
+    "A1 B1",
+    STAGE_PARTS
+    + """SELECT project_id, id AS item_id, o_orderpriority AS narration, o_totalprice AS movie_end, o_orderkey % 2 = 0 AS is_original_play,
+  (SELECT count(*) FROM part WHERE k = o_orderkey) AS shots, row_number() OVER (PARTITION BY project_id ORDER BY o_orderkey) - 1 AS pos FROM o
+WHERE o_orderkey IN (SELECT k FROM part)""",
+)
+def _(t):
+    rows = _stage_again(
+        t, "shot_breakdown",
+        lambda key: (
+            key.alias("item_id"), F.col("o_orderpriority").alias("narration"), F.col("o_totalprice").alias("movie_end"),
+            (F.col("o_orderkey") % 2 == 0).alias("is_original_play"), F.col("parts.shot").alias("movie_shot_ids"),
+        ),
+    )
+    return rows.select("project_id", "item_id", "narration", "movie_end", "is_original_play", F.size("movie_shot_ids").alias("shots"), "pos")
+
+
 @query(
     "tolerant_overrides",
     "A2 A14",

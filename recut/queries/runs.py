@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from recut.operators import runs
 from recut.operators.ordered import ORDINAL_SLICE, TIME_SLICE_MS, lag, last_before, position, scan, sum_before
+from recut.queries import domain
 from recut.queries.domain import AUDIO_RESULTS_SQL, CLIPS_SQL, INTERVALS_SQL
 from recut.queries.registry import ctes, query
 
@@ -93,6 +94,21 @@ def _(t):
     return kept.select("media_id", "event_id")
 
 
+@query(
+    "first_middle_last",
+    "W20",
+    ctes(INTERVALS_SQL)
+    + """,
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY start_ms, event_id) - 1 AS p, count(*) OVER (PARTITION BY user_id) AS c
+      FROM (SELECT e.user_id, i.event_id, i.start_ms FROM intervals i JOIN events e USING (event_id)))
+SELECT user_id, event_id FROM n WHERE p IN (0, c // 2, c - 1)
+""",
+)
+def _(t):
+    rows = domain.intervals(t, "user_id")
+    return runs.first_middle_last(rows, ["user_id"], ["start_ms", "event_id"], width=TIME_SLICE_MS).select("user_id", "event_id")
+
+
 @query(
     "keep_last_duplicate",
     "J8 A14",

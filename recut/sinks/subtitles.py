@@ -87,6 +87,34 @@ def join_blocks(blocks: DataFrame, keys: Sequence[str], separator: str = "\n") -
     return blocks.groupBy(*keys).agg(F.array_join(F.transform(rows, lambda r: r.block), separator).alias("content"))
 
 
+# Sections and fields an event file must open with.
+ASS_INFO = {"ScriptType": "v4.00+", "PlayResX": "1280", "PlayResY": "720"}
+ASS_STYLE_FIELDS = (
+    "Name", "Fontname", "Fontsize", "PrimaryColour", "SecondaryColour", "OutlineColour", "BackColour", "Bold", "Italic", "Underline", "StrikeOut",
+    "ScaleX", "ScaleY", "Spacing", "Angle", "BorderStyle", "Outline", "Shadow", "Alignment", "MarginL", "MarginR", "MarginV", "Encoding",
+)
+ASS_EVENT_FIELDS = ("Layer", "Start", "End", "Style", "Name", "MarginL", "MarginR", "MarginV", "Effect", "Text")
+WHITE, RED, BLACK = "&H00FFFFFF", "&H000000FF", "&H00000000"
+
+
+def ass_head(font: str = "Arial", size: int = 66, second_size: int = 40) -> str:
+    """Script info, the two styles of the layouts, and the head of the events."""
+    look = ("-1", "0", "0", "0", "100", "100", "0", "0", "1", "2", "0", "2", "10", "10", "10", "1")
+    styles = [",".join((name, font, str(points), WHITE, RED, BLACK, BLACK, *look)) for name, points in (("Default", size), ("Secondary", second_size))]
+    sections = (
+        ["[Script Info]", *(f"{k}: {v}" for k, v in ASS_INFO.items()), ""],
+        ["[V4+ Styles]", "Format: " + ", ".join(ASS_STYLE_FIELDS), *(f"Style: {s}" for s in styles), ""],
+        ["[Events]", "Format: " + ", ".join(ASS_EVENT_FIELDS), ""],
+    )
+    return "\n".join(line for section in sections for line in section)
+
+
+def ass_documents(blocks: DataFrame, keys: Sequence[str], head: str | None = None) -> DataFrame:
+    """Whole event files: head and dialogue lines."""
+    opened = F.lit(ass_head() if head is None else head)
+    return join_blocks(blocks, keys).withColumn("content", F.concat(opened, "content"))
+
+
 def compress_srt(files: DataFrame) -> DataFrame:
     """One ``[start-end] text`` line per block with its timing among the first three lines."""
     blocks = files.select("path", F.posexplode(F.split(plain(F.col("content")), "\n\n")).alias("__pos", "__block"))
