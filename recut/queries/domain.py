@@ -23,12 +23,12 @@ def _micros_since_2024(df: DataFrame, name: str) -> Column:
 
 
 def intervals(t: Tables, *more: str) -> DataFrame:
-    """Events as time-coded intervals of ten media files, with more columns of the events if asked."""
+    """Events as time-coded intervals, a media file for each user, with more columns of the events if asked."""
     events = t.events
     start = F.floor(_micros_since_2024(events, "ts") / 100_000).cast("bigint")
     length = F.floor(F.col("value") * 500 + 0.5).cast("bigint")
     return events.select(
-        (F.col("user_id") % 10).alias("media_id"),
+        F.col("user_id").alias("media_id"),
         "event_id",
         "event_type",
         start.alias("start_ms"),
@@ -39,7 +39,7 @@ def intervals(t: Tables, *more: str) -> DataFrame:
 
 INTERVALS_SQL = """
 intervals AS (
-  SELECT user_id % 10 AS media_id, event_id, event_type, s AS start_ms,
+  SELECT user_id AS media_id, event_id, event_type, s AS start_ms,
          s + CAST(floor(value * 500 + 0.5) AS BIGINT) AS end_ms
   FROM (SELECT *, CAST(floor((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 100000) AS BIGINT) AS s FROM events)
 )
