@@ -96,11 +96,15 @@ def labelled_sample(pages: DataFrame, url_col: str = "url", most: int = LABELLED
 
 
 def train(labelled: DataFrame) -> LogisticRegressionModel | None:
-    """Fit to a small table (url, label 0 or 1); None where it does not hold both labels."""
+    """Fit to a small table (url, label 0 or 1), both labels of equal weight; None where it does not hold both."""
     rows = cut_lineage(featured(parse(labelled, "url")).select("label", "features"))
-    if rows.select("label").distinct().count() < 2:
+    counts = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
+    if len(counts) < 2:
         return None
-    return LogisticRegression(regParam=RIDGE, maxIter=40, standardization=False).fit(rows)
+    total = sum(counts.values())
+    weight = F.when(F.col("label") == 1, total / (2 * counts[1.0])).otherwise(total / (2 * counts[0.0]))
+    model = LogisticRegression(regParam=RIDGE, maxIter=40, standardization=False, weightCol="weight")
+    return model.fit(rows.withColumn("weight", weight))
 
 
 def judge_urls(
