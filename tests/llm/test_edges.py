@@ -372,7 +372,7 @@ def test_url_model_generalizes(spark):
     schema = "page_id long, url string"
     hosts = ["casinos77.example.org", "slotspoker.example.net", "garden-club.example.org", "oldlibrary.example.net"]
     pages = spark.createDataFrame([(i, f"http://{h}/x") for i, h in enumerate(hosts)], schema)
-    words = [prose(i, 1) for i in range(60)] + ["bet-casino", "spam-site", "pills4you", "slots", "poker-room"]
+    words = [prose(i, 1) for i in range(60)] + ["bet-casino", "casino-win", "mycasino", "spam-site", "pills4you", "slots", "poker-room", "slots-win"]
     seen = spark.createDataFrame([(i, f"http://{w}.example.{('org', 'net')[i % 2]}/x") for i, w in enumerate(words)], schema)
     got = by_id(urls.judge_urls(pages, urls.labelled_sample(seen)))
     assert [got[i].verdict for i in range(4)] == ["block", "block", "allow", "allow"]
