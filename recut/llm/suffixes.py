@@ -36,7 +36,7 @@ GRAM = 32
 CHUNK = 1 << 18
 #: Different blocks of one anchor that meet in one batch, and bytes of a batch.
 GROUP = 10_000
-BATCH = 4 << 20
+BATCH = 1 << 20
 PLACE_BITS = 24
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
