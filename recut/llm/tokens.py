@@ -8,6 +8,7 @@ remembered for a while.
 
 Ids (tokenizers).  The same vocabulary is also given as ranks for a quicker library; texts of Latin letters, digits,
 ASCII signs and spaces, for which both libraries part words alike, go that way, all others through the named one.
+So do texts with a very long run of blanks, on which the quicker library runs out of stack.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ REMEMBERED = 400_000
 LONGEST = 48
 #: Texts for which both libraries give the same ids.
 PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7eÀ-ÖØ-öø-ſ¡¿«»]*")
+#: A run of blanks too long for the quicker library; only starts of runs are tried.
+LONG_RUN = re.compile("(?<![\\t\\n\\r ])[\\t\\n\\r ]{10000}")
 
 
 def whole_tokens(processor) -> frozenset[str] | None:
@@ -129,7 +132,7 @@ def encoder() -> Callable[[str], array]:
         return Tokenizer.from_file(public_tokenizers.path(ID_MODEL))
 
     def ids(text: str) -> array:
-        if PLAIN.fullmatch(text) and not any(s in text for s in special):
+        if PLAIN.fullmatch(text) and not (len(text) >= 10_000 and LONG_RUN.search(text)) and not any(s in text for s in special):
             return array("I", quick.encode_ordinary(text))
         return array("I", named().encode(text, add_special_tokens=False).ids)
 
