@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recut.llm import chat, classifier, packing, quality_rules, secrets, suffixes, tokens, urls
+from recut.llm import audit, chat, classifier, lexical, nearest, packing, quality_rules, secrets, suffixes, tokens, urls
 from recut.llm.common import table
 from recut.llm.decontamination import decontaminate
 from recut.llm.simhash import near_duplicates
@@ -216,6 +217,71 @@ def op10_golay_near_duplicates(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def op11_pruned_graph_neighbours(spark: SparkSession, root: str) -> DataFrame:
+    found = nearest.nearest(table(spark, root, "embeddings"), F.col("vec_id") % 20 == 0)
+    return found.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
+
+
+def op12_automaton_search(spark: SparkSession, root: str) -> DataFrame:
+    found = lexical.ranked(table(spark, root, "documents"), table(spark, root, "benchmark"))
+    return found.select(F.col("item").cast("long").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP12_SQL = f"""
+WITH texts AS (SELECT doc_id, {_TERMS} AS w FROM documents WHERE text IS NOT NULL),
+sizes AS (SELECT doc_id, len(w) AS n FROM texts WHERE len(w) > 0),
+total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM sizes),
+wanted AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+held AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM texts) WHERE term IN (SELECT term FROM wanted) GROUP BY ALL),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM held, total GROUP BY term),
+gains AS (
+  SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // terms))) AS gain
+  FROM held JOIN weights USING (term) JOIN sizes USING (doc_id), total),
+scores AS (SELECT item_id, doc_id, CAST(sum(gain) AS BIGINT) AS score FROM wanted JOIN gains USING (term) GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0) WHERE rank <= {lexical.BEST}
+"""
+
+
+def op13_filter_diagrams(spark: SparkSession, root: str) -> DataFrame:
+    return audit.audit(table(spark, root, "documents"), table(spark, root, "labels"))
+
+
+_ORDERS = ", ".join(f"('{''.join(o)}')" for o in itertools.permutations(audit.FILTERS))
+OP13_SQL = rf"""
+WITH texts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         min(doc_id) OVER (PARTITION BY t) AS first
+  FROM (SELECT *, coalesce(text, '') AS t FROM documents)),
+marks AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+masks AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         CAST(len(w) < 100 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 80 * len(w) AS INT)
+         + 4 * CAST(100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t) AS INT) + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT)
+         + 16 * CAST(doc_id > first AS INT) AS mask
+  FROM texts LEFT JOIN marks USING (doc_id)),
+counts AS (SELECT part, mask, count(*) AS docs, sum(good) AS good, sum(toxic) AS toxic FROM masks GROUP BY ALL),
+orders(filter_order) AS (VALUES {_ORDERS}),
+steps AS (SELECT filter_order, step, 1 << (ascii(filter_order[step]) - 65) AS bit FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+placed AS (SELECT *, sum(bit) OVER (PARTITION BY filter_order ORDER BY step) - bit AS before FROM steps),
+told AS (
+  SELECT part, filter_order, step, bit,
+         coalesce(sum(docs) FILTER (mask & CAST(before + bit AS INT) = 0), 0) AS kept,
+         coalesce(sum(docs) FILTER (mask & bit <> 0 AND mask & CAST(before AS INT) = 0), 0) AS removed,
+         coalesce(sum(docs) FILTER (mask & bit <> 0 AND mask & CAST(before AS INT) <> 0), 0) AS redundant,
+         coalesce(sum(docs) FILTER (mask = bit), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (mask & bit <> 0 AND mask & CAST(before AS INT) = 0), 0) AS good_lost,
+         coalesce(sum(toxic) FILTER (mask & bit <> 0 AND mask & CAST(before AS INT) = 0), 0) AS toxic_lost
+  FROM counts, placed GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM told
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_rule_ensemble": op1_rule_ensemble,
@@ -228,6 +294,9 @@ def queries() -> dict[str, Query]:
         "op7_complement_packing": op7_complement_packing,
         "op9_url_filter": op9_url_filter,
         "op10_golay_near_duplicates": op10_golay_near_duplicates,
+        "op11_pruned_graph_neighbours": op11_pruned_graph_neighbours,
+        "op12_automaton_search": op12_automaton_search,
+        "op13_filter_diagrams": op13_filter_diagrams,
     }
 
 
@@ -237,4 +306,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_owned_secrets": OP3_SQL,
         "op4_winnowed_benchmark": OP4_SQL,
         "op8_controlled_quality_rules": OP8_SQL,
+        "op12_automaton_search": OP12_SQL,
+        "op13_filter_diagrams": OP13_SQL,
     }
