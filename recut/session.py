@@ -65,8 +65,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     optimizer knows the true size, which decides what may be broadcast.  Shuffle files of the write
     are of no more use after it and go at its end.
     """
+    return _written(df, f"{checkpoint_dir(df.sparkSession)}/recut-{uuid.uuid4().hex}")
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/recut-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
@@ -74,3 +77,38 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Written tables of one computation, each dropped when it is of no more use, all of them at the end.
+
+    What leaves the computation must not read them: write it with ``cut_lineage`` before the end.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self._paths: dict[int, str] = {}
+        self._held: list[DataFrame] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        for path in self._paths.values():
+            self._delete(path)
+        self._paths.clear()
+
+    def table(self, df: DataFrame) -> DataFrame:
+        path = f"{checkpoint_dir(self.spark)}/recut-{uuid.uuid4().hex}"
+        written = _written(df, path)
+        self._paths[id(written)] = path
+        self._held.append(written)  # an id is not given again while its table is held
+        return written
+
+    def drop(self, *tables: DataFrame) -> None:
+        for written in tables:
+            self._delete(self._paths.pop(id(written)))
+
+    def _delete(self, path: str) -> None:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
