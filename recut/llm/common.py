@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recut.session import cut_lineage, ship
+from recut.session import Scratch, cut_lineage, ship
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -43,22 +43,24 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges (a, b): rows (node, root), root the smallest node reachable.
 
     Alternating large and small stars.  Every round is two partially aggregated minima and two joins by node, which
-    Spark splits for a hub; each round is a written table, so lost executors only repeat the current one.  Nodes
-    without an edge to another node are not returned.
+    Spark splits for a hub; each round is a written table, so lost executors only repeat the current one.  Tables of
+    finished rounds are dropped.  Nodes without an edge to another node are not returned.
     """
-    edges = cut_lineage(edges.where("a <> b").distinct())
-    before = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = cut_lineage(large)
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = cut_lineage(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
-                edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-            )
-        before = now
+    with Scratch(edges.sparkSession) as scratch:
+        edges = scratch.table(edges.where("a <> b").distinct())
+        before = None
+        while True:
+            both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+            large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+            large = scratch.table(large)
+            least = large.groupBy("a").agg(F.min("b").alias("m"))
+            small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            after = scratch.table(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+            scratch.drop(edges, large)
+            edges = after
+            now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+            if now == before:
+                rooted = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+                return cut_lineage(rooted.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()))
+            before = now
