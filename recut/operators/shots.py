@@ -6,11 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from recut.operators.folds import sliced_fold
-from recut.operators.ordered import FRAME_SLICE, group_ids, lag, lead, scan
+from recut.operators.ordered import FRAME_SLICE, first_after, group_ids, lag, last_before, lead, position, scan
 from recut.operators.runs import exact_quantiles, run_ids
+from recut.session import cut_lineage
 
 # Fixed values of the detector.
 SCORE_WEIGHTS = {"gray": 0.50, "hist": 0.40, "edge": 0.10}
@@ -53,6 +52,7 @@ def select_cuts(
     width: float = FRAME_SLICE,
 ) -> DataFrame:
     """Local maxima at or above the cutoff, greedily spaced from the left, starting at frame 0."""
+    keys = list(keys)
     min_gap = max(8, int(round(fps * 0.35)))
     peaks = (
         scan(scores, keys, [frame], [lag("__left", value), lead("__right", value)], width=width)
@@ -65,14 +65,37 @@ def select_cuts(
         .select(*keys, F.col(frame).cast("bigint").alias(frame))
     )
 
-    def spaced(last: int, row: tuple) -> tuple[bool, int]:
-        keep = row[0] - last >= min_gap
-        return keep, int(row[0]) if keep else last
+    # The last cut is never after the peak before, so a peak that far behind it is always kept.
+    numbered = scan(peaks.where(F.col(frame) >= min_gap), keys, [frame], [lag("__before", frame)], width=width)
+    heads = F.coalesce(F.col(frame) - F.col("__before") >= min_gap, F.lit(True))
+    peaks = cut_lineage(numbered.select(*keys, F.col(frame).alias("__at"), heads.alias("__head")))
+    return cut_lineage(_reached(peaks, _next_beyond(peaks, keys, min_gap, width), keys)).select(*keys, F.col("__at").alias(frame))
 
-    kept = sliced_fold(
-        peaks, keys, [frame], [frame], spaced, label="__kept", label_type=T.BooleanType(), width=width, initial=0
-    )
-    return kept.where("__kept").drop("__kept")
+
+def _next_beyond(peaks: DataFrame, keys: list[str], gap: int, width: float) -> DataFrame:
+    """(keys, __at, __to): from each peak to the first one at least ``gap`` later; a head is reached anyway."""
+    none = F.lit(None).cast("bigint")
+    landing = peaks.select(*keys, F.col("__at").alias("__where"), F.lit(1).alias("__kind"), none.alias("__from"), F.struct("__at", "__head").alias("__peak"))
+    asked = peaks.select(*keys, (F.col("__at") + gap).alias("__where"), F.lit(0).alias("__kind"), F.col("__at").alias("__from"), F.lit(None).cast(landing.schema["__peak"].dataType).alias("__peak"))
+    ahead = scan(landing.unionByName(asked), keys, ["__where", "__kind"], [first_after("__next", "__peak")], width=width)
+    return ahead.where("__kind = 0 and not __next.__head").select(*keys, F.col("__from").alias("__at"), F.col("__next.__at").alias("__to"))
+
+
+def _reached(peaks: DataFrame, jumps: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, __at) of the heads and of all that lies on the paths from them, by pointer doubling.
+
+    Jumps of 1, 2, 4, ... steps are joined until no path is that long; then the reached ones jump, longest jumps first.
+    """
+    doubled = []
+    jumps = cut_lineage(jumps)
+    while not jumps.isEmpty():
+        doubled.append(jumps)
+        onward = jumps.select(*keys, F.col("__at").alias("__to"), F.col("__to").alias("__further"))
+        jumps = cut_lineage(jumps.join(onward, [*keys, "__to"]).select(*keys, "__at", F.col("__further").alias("__to")))
+    reached = peaks.where("__head").select(*keys, "__at")
+    for jumps in reversed(doubled):
+        reached = reached.unionByName(reached.join(jumps, [*keys, "__at"]).select(*keys, F.col("__to").alias("__at"))).distinct()
+    return reached
 
 
 def cuts_to_scenes(
@@ -137,18 +160,18 @@ def normalize_scenes(
         F.col("end_frame").alias("__order2"),
     ).where("end_frame >= start_frame")
 
-    def place(last_end: int | None, row: tuple) -> tuple[str, int | None]:
-        start, end = row
-        if last_end is not None and start <= last_end:
-            return "extend", int(end)
-        if last_end is None or end - start + 1 >= min_frames:
-            return "open", int(end)
-        return "drop", last_end
-
+    # A long scene always stays.  A short one stays while each scene since the last long one starts before the end of
+    # the one before it; the first that does not is dropped, and with it all short ones up to the next long one.
     order = ["__order", "__order2"]
-    placed = sliced_fold(
-        clamped, keys, order, ["start_frame", "end_frame"], place, label="placed", label_type=T.StringType(), width=width
-    ).where("placed <> 'drop'")
+    numbered = cut_lineage(scan(clamped, keys, order, [position("__at"), lag("__end_before", "end_frame")], width=width))
+    head = (F.col("__at") == 1) | (F.col("end_frame") - F.col("start_frame") + 1 >= min_frames)
+    breaks = ~head & (F.col("start_frame") > F.col("__end_before"))
+    marked = [last_before("__head_at", F.when(head, F.col("__at"))), last_before("__break_at", F.when(breaks, F.col("__at")))]
+    walked = scan(numbered, keys, order, marked, width=width)
+    stays = head | (~breaks & (F.col("__head_at") > F.coalesce(F.col("__break_at"), F.lit(0))))
+    kept_rows = cut_lineage(walked.where(stays).select(*clamped.columns))
+    linked = scan(kept_rows, keys, order, [lag("__end_kept", "end_frame")], width=width)
+    placed = linked.withColumn("placed", F.when(F.col("start_frame") <= F.col("__end_kept"), "extend").otherwise("open")).drop("__end_kept")
     grouped = group_ids(
         placed, keys, ["__order", "__order2"], F.col("placed") == "open", "__scene", width=width
     )
