@@ -196,14 +196,19 @@ def _(t):
     ctes(FRAMES_SQL)
     + POOL_SQL
     + """,
-o AS (SELECT r.shot_no AS ref_no, r.shot_no + 2 AS movie_no FROM pool r WHERE r.side = 'ref'),
+o AS (SELECT r.shot_no AS ref_no, r.shot_no + 2 AS movie_no FROM pool r WHERE r.side = 'ref' AND r.shot_no % 2 = 0),
 ff AS (SELECT o.ref_no, o.movie_no, a.frame_pos AS fa, b.frame_pos AS fb, list_dot_product(a.vec, b.vec) AS s
        FROM o JOIN frames a ON a.shot_no = o.ref_no JOIN frames b ON b.shot_no = o.movie_no AND b.side = 'movie'),
 ra AS (SELECT ref_no, movie_no, avg(x) AS m FROM (SELECT ref_no, movie_no, fa, max(s) AS x FROM ff GROUP BY ALL) GROUP BY ALL),
 rb AS (SELECT ref_no, movie_no, avg(x) AS m FROM (SELECT ref_no, movie_no, fb, max(s) AS x FROM ff GROUP BY ALL) GROUP BY ALL)
-SELECT o.ref_no, o.movie_no, 999 AS inliers,
+,
+forced AS (SELECT o.ref_no, o.movie_no, 999 AS inliers,
  CAST(floor(greatest(0, least(1, 0.45::DOUBLE * list_dot_product(r.clip, m.clip) + 0.45::DOUBLE * ((ra.m + rb.m) / 2) + 0.10::DOUBLE * (least(r.dur_ms, m.dur_ms) / greatest(r.dur_ms, m.dur_ms)::DOUBLE))) * 1000000 + 0.5) AS BIGINT) AS score_e6
-FROM o JOIN pool r ON r.shot_no = o.ref_no JOIN pool m ON m.shot_no = o.movie_no JOIN ra USING (ref_no, movie_no) JOIN rb USING (ref_no, movie_no)
+FROM o JOIN pool r ON r.shot_no = o.ref_no JOIN pool m ON m.shot_no = o.movie_no JOIN ra USING (ref_no, movie_no) JOIN rb USING (ref_no, movie_no)),
+found AS (SELECT r.shot_no AS ref_no, m.shot_no AS movie_no, round(list_dot_product(r.clip, m.clip), 9) AS score FROM pool r JOIN pool m ON r.side = 'ref' AND m.side = 'movie'),
+best AS (SELECT *, row_number() OVER (PARTITION BY ref_no ORDER BY score DESC, movie_no DESC) AS rank FROM found)
+SELECT ref_no, movie_no, 1 AS rank, true AS manual_override, inliers, score_e6 FROM forced
+UNION ALL SELECT ref_no, movie_no, rank, false, 0, CAST(floor(score * 1000000 + 0.5) AS BIGINT) FROM best WHERE rank <= 3 AND ref_no NOT IN (SELECT ref_no FROM forced)
 """,
 )
 def _(t):
@@ -213,11 +218,11 @@ def _(t):
     )
     refs = shots.where("side = 'ref'").withColumnRenamed("shot_no", "ref_no")
     movies = shots.where("side = 'movie'").withColumnRenamed("shot_no", "movie_no")
-    overrides = refs.select("project_id", "ref_no", (F.col("ref_no") + 2).alias("movie_no"))
-    none = overrides.limit(0).select(
-        *P, "ref_no", "movie_no", F.lit(1).cast("bigint").alias("rank"), F.lit(0.0).alias("score"), F.lit(0.0).alias("geometry"),
-        F.lit(0).cast("bigint").alias("inliers"), F.lit(0).cast("bigint").alias("good_matches"),
-        *[F.lit(0.0).alias(c) for c in ("local_score", "global_score", "fine_score", "support")],
+    overrides = refs.where("ref_no % 2 = 0").select("project_id", "ref_no", (F.col("ref_no") + 2).alias("movie_no"))
+    found = sim.cosine_top_k(refs, movies, P, 3, size=256).select(
+        *P, "ref_no", "movie_no", "rank", "score", F.lit(0.0).alias("geometry"),
+        F.lit(0).cast("bigint").alias("inliers"), F.lit(0).cast("bigint").alias("good_matches"), F.col("score").alias("global_score"),
+        *[F.lit(0.0).alias(c) for c in ("local_score", "fine_score", "support")],
     )
-    forced = al.apply_overrides(none, overrides, refs, movies, P)
-    return forced.select("ref_no", "movie_no", "inliers", e6(F.col("score"), "score_e6"))
+    candidates = al.apply_overrides(found, overrides, refs, movies, P)
+    return candidates.select("ref_no", "movie_no", "rank", "manual_override", "inliers", e6(F.col("score"), "score_e6"))

@@ -221,16 +221,16 @@ decisions AS (SELECT o_custkey % 50 AS project_id, o_orderkey AS seg_no,
 """
 
 
-_LOCAL_THRESHOLDS = (-0.12, -0.03, 0.03, 0.12)
+_LOCAL_THRESHOLDS = (-0.18, -0.06, 0.06, 0.18)
 
 
 def local_features(t: Tables) -> DataFrame:
     """Ten embeddings make a shot of two frames with five key points each.
 
-    A descriptor word holds one bit per dimension: set where the value lies above the word's threshold.
+    A descriptor word holds one bit for each of the 64 dimensions: set where the value lies above the word's threshold.
     """
     word = lambda v: F.expr(
-        f"aggregate(transform(slice(embedding, 1, 60), (x, i) -> if(double(x) > {v}D, shiftleft(1L, i), 0L)), 0L, (a, b) -> a + b)"
+        f"aggregate(transform(embedding, (x, i) -> if(double(x) > {v}D, shiftleft(1L, i), 0L)), 0L, (a, b) -> a + b)"
     )
     shot = F.floor(F.col("vec_id") / 10).cast("bigint")
     return t.embeddings.select(
@@ -246,7 +246,8 @@ def local_features(t: Tables) -> DataFrame:
     )
 
 
-_WORD_SQL = "list_sum(list_transform(range(60), lambda i: CASE WHEN embedding[i + 1]::DOUBLE > {v}::DOUBLE THEN (1::BIGINT << i) ELSE 0 END))::BIGINT AS w{n}"
+# The last of the 64 bits is the sign of the word.
+_WORD_SQL = "list_sum(list_transform(range(64), lambda i: CASE WHEN embedding[i + 1]::DOUBLE <= {v}::DOUBLE THEN 0::HUGEINT WHEN i = 63 THEN -(1::HUGEINT << 63) ELSE 1::HUGEINT << i END))::BIGINT AS w{n}"
 LOCAL_SQL = (
     """
 local AS (SELECT 0::BIGINT AS project_id, vec_id // 10 AS shot_no, CASE WHEN (vec_id // 10) % 5 = 0 THEN 'ref' ELSE 'movie' END AS side,

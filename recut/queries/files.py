@@ -456,11 +456,11 @@ def _(t):
 
 @query("frame_descriptors", "J27 A13 P27")
 def _(t):
-    """Page bytes taken as small colour images."""
-    size = F.floor(F.octet_length("html") / 48)
-    images = t.pages.where(F.octet_length("html") >= 48).select(
-        F.col("page_id").cast("string").alias("origin"), size.cast("int").alias("height"), F.lit(16).alias("width"), F.lit(3).alias("nChannels"),
-        F.substring(F.encode("html", "UTF-8"), F.lit(1), (size * 48).cast("int")).alias("data"),
-    )
-    rows = frame_features(images)
-    return rows.select("origin", F.size("descriptor").alias("dims"), "dhash", F.aggregate("hist", F.lit(0.0), lambda a, x: a + x).cast("bigint").alias("pixels"))
+    """Page bytes taken as small colour images, the last row filled up with black."""
+    raw = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+    rows = F.greatest(F.lit(1), F.ceil(F.octet_length(raw) / 48)).cast("int")
+    images = t.pages.select(
+        F.col("page_id").cast("string").alias("origin"), rows.alias("height"), F.lit(16).alias("width"), F.lit(3).alias("nChannels"), raw.alias("bytes")
+    ).select("origin", "height", "width", "nChannels", F.expr("rpad(bytes, height * 48, X'00')").alias("data"))
+    found = frame_features(images)
+    return found.select("origin", F.size("descriptor").alias("dims"), "dhash", F.aggregate("hist", F.lit(0.0), lambda a, x: a + x).cast("bigint").alias("pixels"))

@@ -161,7 +161,7 @@ def _(t):
     ctes(LOCAL_SQL)
     + """,
 d AS (SELECT r.shot_no AS ref_no, r.desc_no, m.shot_no AS movie_no, m.desc_no AS near_no,
-  bit_count(xor(r.w0, m.w0)) + bit_count(xor(r.w1, m.w1)) + bit_count(xor(r.w2, m.w2)) + bit_count(xor(r.w3, m.w3)) AS dist
+  bit_count(xor(r.w0, m.w0))::BIGINT + bit_count(xor(r.w1, m.w1)) + bit_count(xor(r.w2, m.w2)) + bit_count(xor(r.w3, m.w3)) AS dist
   FROM local r JOIN local m ON r.project_id = m.project_id WHERE r.side = 'ref' AND m.side = 'movie'),
 k AS (SELECT *, row_number() OVER (PARTITION BY ref_no, desc_no ORDER BY dist, movie_no, near_no) AS rn FROM d),
 o AS (SELECT ref_no, desc_no, movie_no, min(dist) AS dist FROM k WHERE rn <= 6 AND dist <= 60 GROUP BY ALL)
@@ -176,7 +176,7 @@ def _(t):
 
 MATCH_SQL = """,
 d AS (SELECT r.shot_no AS ref_no, m.shot_no AS movie_no, r.frame_pos AS ref_frame, m.frame_pos AS movie_frame, r.kp_no AS q, m.kp_no AS c, m.x - r.x AS dx, m.y - r.y AS dy,
-  bit_count(xor(r.w0, m.w0)) + bit_count(xor(r.w1, m.w1)) + bit_count(xor(r.w2, m.w2)) + bit_count(xor(r.w3, m.w3)) AS dist
+  bit_count(xor(r.w0, m.w0))::BIGINT + bit_count(xor(r.w1, m.w1)) + bit_count(xor(r.w2, m.w2)) + bit_count(xor(r.w3, m.w3)) AS dist
   FROM cand JOIN local r ON r.shot_no = cand.ref_no JOIN local m ON m.shot_no = cand.movie_no AND r.project_id = m.project_id),
 k AS (SELECT *, row_number() OVER w AS rn, lead(dist) OVER w AS d2 FROM d WINDOW w AS (PARTITION BY ref_no, movie_no, ref_frame, movie_frame, q ORDER BY dist, c)),
 good AS (SELECT * FROM k WHERE rn = 1 AND dist < 0.75::DOUBLE * d2)

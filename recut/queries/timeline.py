@@ -293,7 +293,7 @@ def _script(t):
         F.array(F.concat(F.lit("s"), F.col("part_no").cast("string"))).alias("shot_ids"), F.concat(F.lit("r"), F.col("clip_no").cast("string")).alias("source_ref_shot"),
         action.alias("audio_action"), F.when(F.col("part_no") % 5 == 0, "low").otherwise("high").alias("confidence"), (F.col("clip_no") % 2 == 0).alias("is_original"),
     )
-    units = ranges.where("seg_no % 3 = 0").select(
+    units = ranges.where("seg_no % 5 < 2").select(
         *P, "seg_no", F.col("range_pos").alias("unit_pos"), F.when(F.col("range_pos") % 3 != 0, F.concat(F.lit("new "), "range_id")).alias("new_text"),
         F.concat(F.lit("old "), "range_id").alias("old_text"), (F.col("range_pos") % 4 == 0).alias("keep_original_audio"),
         F.when(F.col("range_pos") % 5 != 0, F.array("range_id")).otherwise(F.array().cast("array<string>")).alias("related_range_ids"),
@@ -313,19 +313,28 @@ def _(t):
 
 
 CHUNK_SQL = ctes(CLIPS_SQL) + """,
-r AS (SELECT item_no AS seg_no, clip_no AS pos, CASE part_no % 4 WHEN 0 THEN 'original' WHEN 1 THEN 'mixed' ELSE 'voiceover' END AS mode, (part_no * 1000 + (end_ms - start_ms) // 10) - part_no * 1000 AS len FROM clips WHERE item_no % 3 = 1),
-g AS (SELECT *, sum(CASE WHEN pm IS NULL OR pm <> mode THEN 1 ELSE 0 END) OVER (PARTITION BY seg_no ORDER BY pos ROWS UNBOUNDED PRECEDING) AS c FROM (SELECT *, lag(mode) OVER (PARTITION BY seg_no ORDER BY pos) AS pm FROM r))
-SELECT seg_no, CAST(c AS BIGINT) AS chunk_no, mode AS audio_mode,
-  CASE mode WHEN 'voiceover' THEN greatest(1200, CAST(floor(length(regexp_replace(o_orderpriority || ' told in many words ' || seg_no, '[\\s.,!?;:]', '', 'g')) * 1000 / 4.2::DOUBLE + 0.5) AS BIGINT)) ELSE CAST(sum(len) AS BIGINT) END AS tts_ms
-FROM g JOIN orders ON o_orderkey = seg_no GROUP BY seg_no, c, mode, o_orderpriority
+r AS (SELECT item_no AS seg_no, clip_no AS pos, CASE WHEN item_no % 3 <> 1 THEN 'voiceover' WHEN part_no % 4 = 0 THEN 'original' WHEN part_no % 4 = 1 THEN 'mixed' ELSE 'voiceover' END AS act, (end_ms - start_ms) // 10 AS len FROM clips),
+u AS (SELECT seg_no, pos, act, len, pos % 5 <> 0 AS related, pos % 3 <> 0 AS rewritten, pos % 4 = 0 AS kept,
+  CASE WHEN pos % 4 = 0 THEN 'original' WHEN pos % 5 <> 0 THEN act ELSE 'voiceover' END AS mode FROM r WHERE seg_no % 5 < 2),
+a AS (SELECT seg_no, 0 AS part, pos, mode, CASE WHEN kept THEN '' WHEN rewritten THEN 'new range_' || pos ELSE 'old range_' || pos END AS said, CASE WHEN related THEN len END AS len
+      FROM u WHERE related OR (mode <> 'original' AND rewritten)
+  UNION ALL SELECT seg_no, 1, pos, act, '', len FROM r WHERE seg_no % 5 >= 2 OR pos % 5 = 0),
+g AS (SELECT *, sum(CASE WHEN pm IS NULL OR pm <> part || mode THEN 1 ELSE 0 END) OVER (PARTITION BY seg_no ORDER BY part, pos ROWS UNBOUNDED PRECEDING) AS c
+      FROM (SELECT *, lag(part || mode) OVER (PARTITION BY seg_no ORDER BY part, pos) AS pm FROM a)),
+k AS (SELECT seg_no, c, mode, string_agg(said, '' ORDER BY pos) AS said, CAST(coalesce(sum(len), 0) AS BIGINT) AS span, count(len) AS shown FROM g GROUP BY ALL),
+n AS (SELECT k.*, CASE WHEN mode = 'original' THEN '' WHEN said = '' AND mode = 'voiceover' AND seg_no % 5 >= 2 THEN o_orderpriority || ' told in many words ' || seg_no ELSE said END AS narration
+      FROM k JOIN orders ON o_orderkey = seg_no),
+t AS (SELECT *, CASE WHEN narration = '' THEN 0 ELSE greatest(1200, CAST(floor(length(regexp_replace(narration, '[\\s.,!?;:]', '', 'g')) * 1000 / 4.2::DOUBLE + 0.5) AS BIGINT)) END AS speech FROM n)
+SELECT seg_no, CAST(c AS BIGINT) AS chunk_no, mode AS audio_mode, narration, CASE WHEN mode = 'original' OR (mode = 'mixed' AND speech = 0) THEN span ELSE speech END AS tts_ms
+FROM t WHERE shown > 0 OR narration <> ''
 """
 
 
 @query("audio_aware_items", "F11 P5 P6", CHUNK_SQL)
 def _(t):
     segments, ranges, units = _script(t)
-    items = plans.audio_aware_items(segments.where("seg_no % 3 = 1"), ranges.where("seg_no % 3 = 1"), units.where("seg_no % 3 = 1"), P).items
-    return items.select("seg_no", "chunk_no", "audio_mode", "tts_ms")
+    items = plans.audio_aware_items(segments, ranges, units, P).items
+    return items.select("seg_no", "chunk_no", "audio_mode", "narration", "tts_ms")
 
 
 @query(
@@ -434,18 +443,19 @@ def _breakdown_inputs(t):
     )
     clips = t.clips.join(audio.select("item_no", "project_id"), "item_no").select(
         *P, "item_no", "clip_no", "start_ms", "end_ms", F.when(F.col("flag") == "R", True).when(F.col("flag") == "A", False).alias("keep_original_audio"),
-        F.lit(None).cast("bigint").alias("source_ref_shot"), F.when(F.col("part_no") % 2 == 0, "synthetic_extension").otherwise("original").alias("allocation"),
+        F.when(F.col("part_no") % 3 == 1, F.col("item_no")).when(F.col("part_no") % 3 == 2, F.col("item_no") + 1).alias("source_ref_shot"),
+        F.when(F.col("part_no") % 2 == 0, "synthetic_extension").otherwise("original").alias("allocation"),
     )
     ranges = t.clips.join(audio.select("item_no", "project_id"), "item_no").select(
         *P, F.col("item_no").alias("seg_no"), F.col("clip_no").alias("range_pos"), F.col("start_ms").alias("range_start_ms"), (F.col("end_ms") - 500).alias("range_end_ms"),
         F.when(F.col("part_no") % 4 == 1, "keep_original_audio").alias("audio_action"), F.lit("").alias("audio_role"),
         F.when(F.col("part_no") % 3 == 0, F.array("shot_id")).otherwise(F.array().cast("array<string>")).alias("texts"),
     )
-    ref_shots = audio.limit(0).select(*P, F.col("item_no").alias("shot_no"), F.col("audio_ms").alias("start_ms"), F.col("audio_ms").alias("end_ms"))
+    ref_shots = audio.select(*P, F.col("item_no").alias("shot_no"), (F.col("item_no") % 9_000).alias("start_ms"), (F.col("item_no") % 9_000 + F.col("audio_ms")).alias("end_ms"))
     subs = t.clips.select(
         (F.col("item_no") % 50).alias("project_id"), F.col("part_no").alias("sub_no"), (F.col("start_ms") + F.col("clip_no") * 777).alias("start_ms"),
         (F.col("start_ms") + F.col("clip_no") * 777 + 300).alias("end_ms"), F.col("shot_id").alias("text"),
-    ).where("item_no % 40 = 7 and clip_no = 1")
+    )
     return items, clips, audio.select(*P, "item_no", "audio_ms").where("item_no % 4 <> 0"), ranges, ref_shots, subs, subs
 
 
@@ -458,14 +468,15 @@ pp AS (SELECT *, CAST(coalesce(sum(d) OVER (PARTITION BY project_id ORDER BY ite
    CAST(coalesce(sum(d) OVER (PARTITION BY item_no ORDER BY clip_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS cf FROM pl),
 ov AS (SELECT p.item_no, p.clip_no, r.part_no AS rpart, r.shot_id AS rshot, row_number() OVER (PARTITION BY p.item_no, p.clip_no ORDER BY least(p.e, r.end_ms - 500) - greatest(p.s, r.start_ms) DESC, r.clip_no) AS rn
    FROM pp p JOIN clips r ON r.item_no = p.item_no AND p.s < r.end_ms - 500 AND r.start_ms < p.e AND p.e > p.s),
-sb AS (SELECT item_no % 50 AS project_id, part_no AS sub_no, start_ms + clip_no * 777 AS s0, start_ms + clip_no * 777 + 300 AS s1, shot_id AS text FROM clips WHERE item_no % 40 = 7 AND clip_no = 1),
+sb AS (SELECT item_no % 50 AS project_id, part_no AS sub_no, start_ms + clip_no * 777 AS s0, start_ms + clip_no * 777 + 300 AS s1, shot_id AS text FROM clips),
 mt AS (SELECT p.item_no, p.clip_no, string_agg(text, ' ' ORDER BY sub_no, s0, s1, text) AS txt FROM pp p JOIN sb ON sb.project_id = p.project_id AND p.s < s1 AND s0 < p.e GROUP BY ALL)
 SELECT p.project_id, p.item_no, p.clip_no, ts AS timeline_start_ms, ts + d AS timeline_end_ms, d AS duration_ms,
-  CASE WHEN flag = 'R' THEN true WHEN flag = 'A' THEN false WHEN status = 'O' THEN true ELSE coalesce(rpart % 4 = 1, false) END AS is_original_play,
+  CASE WHEN flag = 'R' THEN true WHEN flag = 'A' THEN false WHEN p.status = 'O' THEN true ELSE coalesce(rpart % 4 = 1, false) END AS is_original_play,
   coalesce(CASE WHEN rpart % 3 = 0 THEN rshot END, txt, '') AS shot_subtitle,
-  CASE WHEN p.item_no % 9000 = 0 OR part_no % 2 = 0 THEN 0 ELSE CAST(((p.item_no % 9000) * least(cf, target) * 2 + target) // (2 * target) AS BIGINT) END AS ref_start_ms,
-  CASE WHEN p.item_no % 9000 = 0 OR part_no % 2 = 0 THEN p.item_no % 9000 ELSE CAST(((p.item_no % 9000) * least(cf + d, target) * 2 + target) // (2 * target) AS BIGINT) END AS ref_end_ms
+  CASE WHEN o.item_no IS NOT NULL THEN o.item_no % 9000 WHEN p.item_no % 9000 = 0 OR (part_no % 2 = 0 AND part_no % 3 = 0) THEN 0 ELSE CAST(((p.item_no % 9000) * least(cf, target) * 2 + target) // (2 * target) AS BIGINT) END AS ref_start_ms,
+  CASE WHEN o.item_no IS NOT NULL THEN o.item_no % 9000 + o.audio_ms WHEN p.item_no % 9000 = 0 OR (part_no % 2 = 0 AND part_no % 3 = 0) THEN p.item_no % 9000 ELSE CAST(((p.item_no % 9000) * least(cf + d, target) * 2 + target) // (2 * target) AS BIGINT) END AS ref_end_ms
 FROM pp p LEFT JOIN (SELECT * FROM ov WHERE rn = 1) USING (item_no, clip_no) LEFT JOIN mt USING (item_no, clip_no)
+LEFT JOIN (SELECT project_id, item_no, audio_ms FROM audio_results) o ON o.project_id = p.project_id AND o.item_no = CASE part_no % 3 WHEN 1 THEN p.item_no WHEN 2 THEN p.item_no + 1 END
 """
 
 
