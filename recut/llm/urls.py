@@ -35,6 +35,8 @@ WANTED = (
     "archive", "books", "cooking", "courses", "garden", "health", "history", "journal", "language", "library", "maps", "math",
     "museum", "music", "nature", "news", "recipes", "school", "science", "sports", "theatre", "travel", "weather", "wiki",
 )
+#: Words that hold an unwanted one of up to four letters and mean something else.
+HARMLESS = ("alphabets", "beads", "downloads", "heads", "leads", "roads", "threads", "uploads")
 #: Labelled addresses used for training, at most; those with the smallest hashes.
 LABELLED = 5_000
 RIDGE = 0.001
@@ -81,18 +83,26 @@ def parse(pages: DataFrame, url_col: str) -> DataFrame:
 def labelled_sample(pages: DataFrame, url_col: str = "url", most: int = LABELLED) -> DataFrame:
     """(url, label): a small labelled table, 1 wanted and 0 unwanted.
 
-    One address for each word of UNWANTED and WANTED, and a bounded sample of the addresses at hand, those with the
-    smallest hashes, labelled by whether the host has an unwanted word as a part, or a longer one within a part.  The
-    model answers for all the others.
+    Addresses for each word of UNWANTED, WANTED and HARMLESS, with the word in the host and in the path of a wanted
+    host, alone and within a part, and a bounded sample of the addresses at hand, those with the smallest hashes.  One of these is
+    unwanted where host or path has an unwanted word as a part, or one of more than four letters within a part.  An
+    address with nothing but a shorter one within a part ("uploads") may be either and is left out.  The model answers
+    for all the others.
     """
-    known = [(f"http://www.{w}.test/", 0.0) for w in UNWANTED] + [(f"http://www.{w}.test/", 1.0) for w in WANTED]
+    known = []
+    for words, label in ((UNWANTED, 0.0), (WANTED, 1.0), (HARMLESS, 1.0)):
+        for at, word in enumerate(words):
+            good = WANTED[at - 1]
+            forms = (f"www.{word}.test/", f"my{word}24.test/", f"www.{good}.test/{word}/", f"www.{good}.test/a-{word}s/1")
+            known += [("http://" + form, label) for form in forms]
     sample = pages.select(F.col(url_col).alias("url")).where("url is not null").distinct().orderBy(F.xxhash64("url"), "url").limit(most)
-    host = host_of(F.col("url"))
-    whole = F.arrays_overlap(F.split(host, "[.-]"), F.array(*(F.lit(w) for w in UNWANTED)))
-    within = host.rlike("|".join(w for w in UNWANTED if len(w) > 4))
-    label = F.when(whole | within, 0.0).otherwise(1.0)
+    said = ascii_lower(F.concat_ws("/", host_of(F.col("url")), path_of(F.col("url"))))
+    whole = F.arrays_overlap(F.split(said, "[^a-z0-9]+"), F.array(*(F.lit(w) for w in UNWANTED)))
+    within = said.rlike("|".join(w for w in UNWANTED if len(w) > 4))
+    unclear = said.rlike("|".join(w for w in UNWANTED if len(w) <= 4))
+    label = F.when(whole | within, 0.0).when(~unclear, 1.0)
     fixed = pages.sparkSession.createDataFrame(known, "url string, label double")
-    return fixed.unionByName(sample.select("url", label.alias("label")))
+    return fixed.unionByName(sample.select("url", label.alias("label")).where("label is not null"))
 
 
 def train(labelled: DataFrame) -> LogisticRegressionModel | None:
@@ -112,9 +122,9 @@ def judge_urls(
 ) -> DataFrame:
     """(id, host, path, rule, verdict, score): one row per row of ``pages``.
 
-    ``score`` is the model's probability that an address is wanted, 0.5 where no model could be trained; from 0.5
-    on it is allowed.  A null address has an empty host and path and is judged like any other; repeated rows give
-    repeated results.
+    ``score`` is the model's probability that an address is wanted; from 0.5 on it is allowed.  It is 0.5 where no
+    model could be trained, and where host and path are empty (a null address, one without a scheme), since there is
+    nothing to hold against them: these are allowed.  Repeated rows give repeated results.
     """
     model = train(labelled)
     picked = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
@@ -122,6 +132,8 @@ def judge_urls(
     if model is None:
         scored = judged.withColumn("score", F.lit(0.5))
     else:
-        scored = model.transform(featured(judged)).withColumn("score", vector_to_array("probability")[1])
+        nothing = (F.col("host") == "") & (F.col("path") == "")
+        wanted = F.when(nothing, 0.5).otherwise(vector_to_array("probability")[1])
+        scored = model.transform(featured(judged)).withColumn("score", wanted)
     by_model = F.when(F.col("score") >= 0.5, "allow").otherwise("block")
     return scored.select("id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", by_model).alias("verdict"), "score")

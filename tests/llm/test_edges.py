@@ -361,8 +361,10 @@ def test_urls(spark):
     got = by_id(urls.judge_urls(pages, urls.labelled_sample(pages)))
     for i, (host, path, rule, verdict) in enumerate(cases.values()):
         assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule)
-        assert got[i].verdict in ("allow", "block") if verdict is None else got[i].verdict == verdict
-    assert (got[len(cases)].host, got[len(cases)].path, got[len(cases)].rule) == ("", "", None)
+        if verdict is not None or not host + path:
+            assert got[i].verdict == (verdict or "allow")
+    last = got[len(cases)]
+    assert (last.host, last.path, last.rule, last.score, last.verdict) == ("", "", None, 0.5, "allow")
     assert urls.judge_urls(pages.limit(0), urls.labelled_sample(pages.limit(0))).count() == 0
     one = spark.createDataFrame([("http://a.test/", 1.0)], "url string, label double")
     assert {r.score for r in urls.judge_urls(pages, one).collect()} == {0.5}
