@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recut.operators.ordered import FRAME_SLICE, first_after, group_ids, lag, last_before, lead, position, scan
+from recut.operators.paths import reached
 from recut.operators.runs import exact_quantiles, run_ids
 from recut.session import cut_lineage
 
@@ -69,7 +70,7 @@ def select_cuts(
     numbered = scan(peaks.where(F.col(frame) >= min_gap), keys, [frame], [lag("__before", frame)], width=width)
     heads = F.coalesce(F.col(frame) - F.col("__before") >= min_gap, F.lit(True))
     peaks = cut_lineage(numbered.select(*keys, F.col(frame).alias("__at"), heads.alias("__head")))
-    return cut_lineage(_reached(peaks, _next_beyond(peaks, keys, min_gap, width), keys)).select(*keys, F.col("__at").alias(frame))
+    return cut_lineage(reached(peaks, _next_beyond(peaks, keys, min_gap, width), keys)).select(*keys, F.col("__at").alias(frame))
 
 
 def _next_beyond(peaks: DataFrame, keys: list[str], gap: int, width: float) -> DataFrame:
@@ -81,23 +82,6 @@ def _next_beyond(peaks: DataFrame, keys: list[str], gap: int, width: float) -> D
     return ahead.where("__kind = 0 and not __next.__head").select(*keys, F.col("__from").alias("__at"), F.col("__next.__at").alias("__to"))
 
 
-def _reached(peaks: DataFrame, jumps: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, __at) of the heads and of all that lies on the paths from them, by pointer doubling.
-
-    Jumps of 1, 2, 4, ... steps are joined until no path is that long; then the reached ones jump, longest jumps first.
-    """
-    doubled = []
-    jumps = cut_lineage(jumps)
-    while not jumps.isEmpty():
-        doubled.append(jumps)
-        onward = jumps.select(*keys, F.col("__at").alias("__to"), F.col("__to").alias("__further"))
-        jumps = cut_lineage(jumps.join(onward, [*keys, "__to"]).select(*keys, "__at", F.col("__further").alias("__to")))
-    reached = peaks.where("__head").select(*keys, "__at")
-    for jumps in reversed(doubled):
-        reached = reached.unionByName(reached.join(jumps, [*keys, "__at"]).select(*keys, F.col("__to").alias("__at"))).distinct()
-    return reached
-
-
 def cuts_to_scenes(
     cuts: DataFrame, frame_counts: DataFrame, keys: Sequence[str], *, frame: str = "frame_no", width: float = FRAME_SLICE
 ) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Cuts by pointer doubling and scenes by scans, beside the loops they stand for."""
+"""Cuts and segments by pointer doubling and scenes by scans, beside the loops they stand for."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from recut.operators import shots
+from recut.operators import narration, shots
 
 
 def spaced_by_hand(peaks, gap):
@@ -57,3 +57,37 @@ def test_normalize_scenes(spark, width):
     got = shots.normalize_scenes(df, ["m"], width=width).collect()
     want = {(m, *scene) for m, scenes in media.items() for scene in scenes_by_hand(scenes, 55)}
     assert {(r.m, r.start_frame, r.end_frame) for r in got} == want and len(got) == len(want)
+
+
+def opened_by_hand(subtitles, pause, most):
+    """Subtitle numbers that open a segment; subtitles are (number, start, end, shots) in order."""
+    opened, shown, end_before = [], set(), None
+    for no, start, end, own in subtitles:
+        if end_before is None or start - end_before > pause or len(shown | own) > most:
+            opened.append(no)
+            shown = set()
+        shown |= own
+        end_before = end
+    return opened
+
+
+@pytest.mark.parametrize("most", [0, 1, 3, 6])
+@pytest.mark.parametrize("width", [200, 1_000_000])
+def test_capped_segments(spark, width, most):
+    """Pauses, subtitles without or with too many shots, repeated shots, and a long stretch without any pause."""
+    rng = random.Random(9)
+    media = {}
+    for m in range(6):
+        at, told = 0, []
+        for no in range([1, 5, 40, 40, 150, 300][m]):
+            at += rng.choice([5, 20, 20, 90]) if m != 5 else 10
+            own = {rng.randrange(no // 9, no // 9 + 4) for _ in range(rng.choice([0, 0, 1, 2, 9]))} if m % 2 else {no // 30}
+            told.append((no, at, at + 8, own))
+        media[m] = told
+    rows = [(m, no, a, b, "t", sorted(own), "x") for m, told in media.items() for no, a, b, own in told]
+    df = spark.createDataFrame(rows, "m long, sub_no long, start_ms long, end_ms long, text string, shots array<long>, other string").repartition(3)
+    last = df.selectExpr("m", "sub_no", "lag(end_ms) over (partition by m order by start_ms, sub_no) p")
+    flagged = df.join(last, ["m", "sub_no"]).selectExpr("m", "sub_no", "start_ms", "shots", "other", "coalesce(start_ms - p > 30, true) opens")
+    got = narration._capped_opens(flagged, ["m"], ["start_ms", "sub_no"], most, width).collect()
+    want = {(m, no) for m, told in media.items() for no in opened_by_hand(told, 30, most)}
+    assert len(got) == len(rows) and {(r.m, r.sub_no) for r in got if r.opens} == want

@@ -1,4 +1,4 @@
-"""Sliced scans, folds and fixed points against plain windows and plain loops."""
+"""Sliced scans and fixed points against plain windows and plain loops."""
 
 from __future__ import annotations
 
@@ -13,7 +13,6 @@ from recut.operators import audio as au
 from recut.operators import intervals as iv
 from recut.operators import runs
 from recut.operators import timeline as tl
-from recut.operators.folds import sliced_fold
 from recut.operators.ordered import first_after, lag, last_before, lead, max_before, position, scan, sum_before
 
 
@@ -39,30 +38,6 @@ def test_scan_equals_plain_windows(spark, width, partitions):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want.collect())))
 
 
-def _spaced(points, gap):
-    last, kept = 0, []
-    for p in points:
-        if p - last >= gap:
-            kept.append(p)
-            last = p
-    return kept
-
-
-@pytest.mark.parametrize("width", [3, 50, 10_000])
-def test_fold_hands_state_over_slices(spark, width):
-    rng = random.Random(5)
-    points = {k: sorted(rng.sample(range(1, 500), 200)) for k in range(3)}
-    df = spark.createDataFrame([(k, p) for k, ps in points.items() for p in ps], "k bigint, p bigint").repartition(4)
-
-    def step(last, row):
-        keep = row[0] - last >= 9
-        return keep, int(row[0]) if keep else last
-
-    out = sliced_fold(df, ["k"], ["p"], ["p"], step, label="keep", label_type=T.BooleanType(), width=width, initial=0)
-    got = {k: sorted(r.p for r in out.where(f"keep and k = {k}").collect()) for k in points}
-    assert got == {k: _spaced(ps, 9) for k, ps in points.items()}
-
-
 @pytest.mark.parametrize("fold_rows", [0, 10, 1_000])
 def test_greedy_budget_rounds_equal_the_loop(spark, fold_rows):
     rng = random.Random(8)
