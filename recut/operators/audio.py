@@ -178,84 +178,49 @@ def default_priority(priority: Column, duration_ms: Column) -> Column:
     return F.coalesce(priority.cast("double"), 50.0 + F.least(F.lit(25.0), duration_ms / 1_000))
 
 
-FOLD_ROWS = 2_000
-
-
-def _fold_budget(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Greedy choice inside one row per key; only for keys known to hold few candidates."""
-    ordered = F.array_sort(F.collect_list(F.struct("__neg", "seg_no", "__need", F.col("clip_count").cast("bigint").alias("clips"))))
-    zero = F.lit(0).cast("bigint")
-    start = F.struct(zero.alias("ms"), zero.alias("clips"), F.array().cast("array<bigint>").alias("kept"))
-
-    def step(acc: Column, c: Column) -> Column:
-        fits = (acc["ms"] + c["__need"] <= F.col("__ms")) & (acc["clips"] + c["clips"] <= F.col("__clips"))
-        return F.struct(
-            F.when(fits, acc["ms"] + c["__need"]).otherwise(acc["ms"]).alias("ms"),
-            F.when(fits, acc["clips"] + c["clips"]).otherwise(acc["clips"]).alias("clips"),
-            F.when(fits, F.array_append(acc["kept"], c["seg_no"])).otherwise(acc["kept"]).alias("kept"),
-        )
-
-    packed = rows.groupBy(*keys, "__ms", "__clips").agg(ordered.alias("__rows"))
-    return packed.select(*keys, F.explode(F.aggregate("__rows", start, step)["kept"]).alias("seg_no"))
-
-
-def greedy_budget(
-    candidates: DataFrame, limits: DataFrame, keys: Sequence[str], *, width: float = ORDINAL_SLICE, fold_rows: int = FOLD_ROWS
-) -> DataFrame:
+def greedy_budget(candidates: DataFrame, limits: DataFrame, keys: Sequence[str], *, width: float = ORDINAL_SLICE) -> DataFrame:
     """Keep candidates by (priority down, order up) while both budgets hold; one that does not fit is skipped.
 
-    candidates: keys, seg_no, priority, original_ms, clip_count.  Projects with few candidates are
-    decided inside one row.  The larger ones advance together in rounds: a running total settles every
-    candidate up to the first misfit, and candidates larger than what is left can never fit any more
-    and drop out.  Each round shrinks the room and the rows, and projects grown small leave the rounds.
+    candidates: keys, seg_no, priority, original_ms, clip_count.  All projects advance together in rounds.  A candidate
+    is large if it asks for more than half of what is left of either budget.  As long as no large one fits, the small
+    ones are kept by a running total; a round ends for a project at the first large one that fits, which is kept, or
+    the first small one that does not, which is not.  Either way at most half of one budget is left, so the rounds are
+    no more than the binary digits of both budgets, whatever the candidates.  What is larger than the rest drops out.
     """
     keys = list(keys)
     ranked = candidates.withColumn("__neg", -F.col("priority").cast("double"))
     room = limits.select(*keys, F.col("max_ms_x100").cast("bigint").alias("__ms"), F.col("max_clips").alias("__clips"))
     columns = [*keys, "seg_no", "__neg", "__need", "clip_count", "__ms", "__clips"]
     need = (F.col("original_ms") * 100).cast("bigint")
-    open_rows = ranked.join(room, keys).withColumn("__need", need).select(*columns)
-    settled: DataFrame | None = None
+    able = (F.col("__need") <= F.col("__ms")) & (F.col("clip_count") <= F.col("__clips"))
+    open_rows = cut_lineage(ranked.join(room, keys).withColumn("__need", need).select(*columns).where(able))
     order = ["__neg", "seg_no"]
     rank = F.struct(*order)
-    add = lambda rows: rows if settled is None else settled.unionByName(rows)
-    while True:
-        fitting = cut_lineage(
-            open_rows.where((F.col("__need") <= F.col("__ms")) & (F.col("clip_count") <= F.col("__clips")))
-        )
-        large = cut_lineage(
-            fitting.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > fold_rows).select(*keys)
-        )
-        settled = add(_fold_budget(fitting.join(large, keys, "left_anti"), keys))
-        if large.isEmpty():
-            break
-        totalled = scan(
-            fitting.join(large, keys, "left_semi"), keys, order,
-            [sum_before("__used_ms", "__need"), sum_before("__used_clips", "clip_count")], width=width,
-        )
-        fits = (F.col("__used_ms") + F.col("__need") <= F.col("__ms")) & (
-            F.col("__used_clips") + F.col("clip_count") <= F.col("__clips")
-        )
-        totalled = totalled.withColumn("__fits", fits)
-        stops = totalled.groupBy(*keys).agg(F.min(F.when(~F.col("__fits"), rank)).alias("__stop"))
-        judged = cut_lineage(
-            totalled.join(stops, keys).withColumn(
-                "__side",
-                F.when(F.col("__stop").isNull() | (rank < F.col("__stop")), "kept").when(rank == F.col("__stop"), "out").otherwise("open"),
-            )
+    small = (2 * F.col("__need") <= F.col("__ms")) & (2 * F.col("clip_count") <= F.col("__clips"))
+    fits = (F.col("__used_ms") + F.col("__need") <= F.col("__ms")) & (F.col("__used_clips") + F.col("clip_count") <= F.col("__clips"))
+    settled = open_rows.select(*keys, "seg_no").limit(0)
+    while not open_rows.isEmpty():
+        totals = [sum_before("__used_ms", F.when(small, F.col("__need"))), sum_before("__used_clips", F.when(small, F.col("clip_count")))]
+        totalled = scan(open_rows, keys, order, totals, width=width)
+        totalled = totalled.withColumn("__small", small).withColumn("__fits", fits)
+        stops = totalled.groupBy(*keys).agg(F.min(F.when(F.col("__small") != F.col("__fits"), rank)).alias("__stop"))
+        side = (
+            F.when(rank > F.col("__stop"), "open")
+            .when(rank == F.col("__stop"), F.when(F.col("__fits"), "kept").otherwise("out"))
+            .otherwise(F.when(F.col("__small"), "kept").otherwise("out"))
         )
+        judged = cut_lineage(totalled.join(stops, keys).withColumn("__side", side).select(*columns, "__side"))
         kept = judged.where("__side = 'kept'")
-        settled = add(kept.select(*keys, "seg_no"))
+        settled = settled.unionByName(kept.select(*keys, "seg_no"))
         used = kept.groupBy(*keys).agg(F.sum("__need").alias("__k_ms"), F.sum("clip_count").alias("__k_clips"))
-        open_rows = (
+        left_over = (
             judged.where("__side = 'open'")
-            .select(*columns)
             .join(used, keys, "left")
             .fillna(0, ["__k_ms", "__k_clips"])
             .withColumn("__ms", F.col("__ms") - F.col("__k_ms"))
             .withColumn("__clips", F.col("__clips") - F.col("__k_clips"))
-            .select(*columns)
         )
+        open_rows = cut_lineage(left_over.where(able).select(*columns))
     marked = settled.withColumn("__kept", F.lit(True))
     return candidates.join(marked, [*keys, "seg_no"], "left").select(
         *candidates.columns, F.coalesce("__kept", F.lit(False)).alias("kept")

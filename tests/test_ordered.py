@@ -38,21 +38,45 @@ def test_scan_equals_plain_windows(spark, width, partitions):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want.collect())))
 
 
-@pytest.mark.parametrize("fold_rows", [0, 10, 1_000])
-def test_greedy_budget_rounds_equal_the_loop(spark, fold_rows):
+def _greedy(rows, limits):
+    kept = set()
+    for p, (most, clips) in limits.items():
+        for _, i, _, d, c in sorted((r for r in rows if r[0] == p), key=lambda r: (-r[2], r[1])):
+            if d * 100 <= most and c <= clips:
+                most, clips = most - d * 100, clips - c
+                kept.add((p, i))
+    return kept
+
+
+def _needs(case, rng):
+    """(priority, need, clips) in order: mixed, each small one before one just too large, halves, and nothing needed."""
+    if case == "mixed":
+        return [(rng.randrange(5) * 10, rng.randrange(1, 60), rng.randrange(1, 4)) for _ in range(60)]
+    if case == "misfits":
+        return [(9, x, 1) for k in range(120) for x in (1, 200 - k)]
+    if case == "halves":
+        return [(9, x, 1) for k in range(9) for x in (2 ** (8 - k), 2 ** (8 - k))]
+    return [(9, rng.choice([0, 0, 7]), rng.choice([0, 2])) for _ in range(40)]
+
+
+@pytest.mark.parametrize("width", [7, 100_000])
+def test_greedy_budget_equals_the_loop(spark, width, monkeypatch):
+    """All kinds of needs as projects of one table; the rounds stay below the digits of the budgets."""
     rng = random.Random(8)
-    rows = [(k, i, rng.randrange(5) * 10, rng.randrange(1, 60), rng.randrange(1, 4)) for k in range(4) for i in range(60)]
+    rows, limits = [], {}
+    for p, case in enumerate(["mixed", "mixed", "misfits", "halves", "nothing"]):
+        rows += [(p, i, *x) for i, x in enumerate(_needs(case, rng))]
+        limits[p] = (20_000 + 1_500 * p, 15 * (p + 1) if case != "misfits" else 500)
+    limits[4] = (0, 9)
+    limits[5] = (100, 1)
     df = spark.createDataFrame(rows, "p bigint, seg_no bigint, priority bigint, original_ms bigint, clip_count bigint")
-    limits = spark.createDataFrame([(k, 20_000 * (k + 1), 15 * (k + 1)) for k in range(4)], "p bigint, max_ms_x100 bigint, max_clips bigint")
-    want = set()
-    for k in range(4):
-        used = clips = 0
-        for _, i, _, d, c in sorted((r for r in rows if r[0] == k), key=lambda r: (-r[2], r[1])):
-            if (used + d) * 100 <= 20_000 * (k + 1) and clips + c <= 15 * (k + 1):
-                used, clips = used + d, clips + c
-                want.add((k, i))
-    out = au.greedy_budget(df, limits, ["p"], width=7, fold_rows=fold_rows)
-    assert {(r.p, r.seg_no) for r in out.where("kept").collect()} == want
+    room = spark.createDataFrame([(p, *x) for p, x in limits.items()], "p bigint, max_ms_x100 bigint, max_clips bigint")
+    writes = []
+    monkeypatch.setattr(au, "cut_lineage", lambda d, plain=au.cut_lineage: writes.append(1) or plain(d))
+    out = au.greedy_budget(df.repartition(3), room, ["p"], width=width).collect()
+    assert len(out) == len(rows) and {(r.p, r.seg_no) for r in out if r.kept} == _greedy(rows, limits)
+    digits = max(most.bit_length() + clips.bit_length() for most, clips in limits.values())
+    assert len(writes) <= 1 + 2 * digits
 
 
 def test_budget_of_exactly_the_limit_fits(spark):
