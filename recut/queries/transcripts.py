@@ -8,6 +8,7 @@ from recut.operators import audio as au
 from recut.operators import dialogue as dg
 from recut.operators import rewrite as rw
 from recut.operators import transcripts as tr
+from recut.operators.wordbags import similar_texts
 from recut.queries.domain import AUDIO_RANGES_SQL, CLIPS_SQL, INTERVALS_SQL, REF_SHOTS_SQL, SUBTITLES_SQL
 from recut.queries.registry import ctes, query
 
@@ -273,13 +274,20 @@ def _(t):
     return dg.classify_by_text(*_dialogue_inputs(t), ["project_id"]).segments.select("seg_no", "segment_audio_role")
 
 
-@query("benchmark_text_similarity", "J22 J21")
+@query(
+    "benchmark_text_similarity",
+    "J22 J21",
+    """
+WITH x AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS w FROM benchmark),
+y AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS w FROM documents),
+a AS (SELECT item_id, w, count(*) AS c FROM x GROUP BY ALL), b AS (SELECT doc_id, w, count(*) AS c FROM y GROUP BY ALL),
+an AS (SELECT item_id, count(*) AS left_words FROM x GROUP BY ALL), bn AS (SELECT doc_id, count(*) AS right_words FROM y GROUP BY ALL),
+s AS (SELECT item_id, doc_id, CAST(sum(least(a.c, b.c)) AS BIGINT) AS shared FROM a JOIN b USING (w) GROUP BY ALL)
+SELECT item_id, doc_id, shared, left_words, right_words, 2000 * shared // (left_words + right_words) AS ratio_e3
+FROM s JOIN an USING (item_id) JOIN bn USING (doc_id) WHERE 2.0 * shared / (left_words + right_words) >= 0.25
+""",
+)
 def _(t):
-    """Every benchmark text against the first sentence of the documents sharing its opening word."""
-    from recut.functions.udfs import sequence_ratio
-
-    head = lambda c: F.lower(F.regexp_extract(c, r"^\s*(\S+)", 1))
-    items = t.benchmark.select("item_id", head("text").alias("w"), dg.normalised(F.col("text")).alias("a"))
-    found = t.documents.select("doc_id", head("text").alias("w"), dg.normalised(F.col("text")).alias("b"))
-    near = items.join(found, "w").where(2.0 * F.least(F.length("a"), F.length("b")) / (F.length("a") + F.length("b")) >= 0.65)
-    return near.select("item_id", "doc_id", F.floor(sequence_ratio("a", "b") * 1_000 + 0.5).cast("bigint").alias("ratio_e3"))
+    """All pairs of a benchmark text and a whole document that share a quarter of their words."""
+    found = similar_texts(t.benchmark, t.documents, "item_id", "doc_id", least=0.25)
+    return found.withColumn("ratio_e3", F.expr("2000 * shared div (left_words + right_words)"))
