@@ -84,13 +84,14 @@ candidates AS (
     AND len(list_distinct(string_split(value, ''))) >= {secrets.VARIETY}
     AND NOT regexp_matches(lower(value), '{secrets.PLACEHOLDERS.removeprefix("(?i)")}')
     AND NOT EXISTS (SELECT 1 FROM spans b WHERE b.doc_id = o.doc_id AND b.rank < 3 AND b.s < o.e AND o.s < b.e)),
-held AS (SELECT value, count(DISTINCT owner) AS owners FROM candidates GROUP BY value),
+counted AS (SELECT value, count(DISTINCT owner) AS owners, count(DISTINCT (owner, repository)) AS repositories FROM candidates GROUP BY value),
+held AS (SELECT value, CASE WHEN owners >= {secrets.WIDE_OWNERS} OR repositories >= {secrets.WIDE_REPOSITORIES} THEN 'copied' WHEN owners = 1 THEN 'owned' END AS held FROM counted),
 listed AS (
   SELECT doc_id,
          count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
          string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank < 3) AS base,
-         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank < 3 OR owners = 1) AS spans,
-         count(*) FILTER (owners = 1) AS n_owned, count(*) FILTER (owners >= {secrets.WIDE_OWNERS}) AS n_copied
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank < 3 OR held = 'owned') AS spans,
+         count(*) FILTER (held = 'owned') AS n_owned, count(*) FILTER (held = 'copied') AS n_copied
   FROM candidates JOIN held USING (value) GROUP BY doc_id)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_owned, 0) AS n_owned, coalesce(n_copied, 0) AS n_copied

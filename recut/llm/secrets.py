@@ -1,13 +1,14 @@
 """Secret scan with corpus-wide ownership frequency.
 
 Every text is scanned for credentials by three patterns, and for other long random-looking tokens.  All values
-found are counted over the whole corpus by the distinct owners and repositories that hold them.  A value many owners
-hold is a copied example; a value one owner holds is that owner's and, where it looks live, an unnamed token becomes
-a finding too.  Only DataFrame functions are used.
+found are counted over the whole corpus, by digest, with the distinct owners and repositories that hold them.  A value
+that many owners or many repositories hold is a copied example; another one that one owner holds is that owner's and,
+where it looks live, an unnamed token becomes a finding too.  Only DataFrame functions are used.
 
 Places are code points, ends exclusive.  Texts are keyed by their digest, so copies are judged alike and missing or
-repeated ids do no harm; only values, never texts, are shuffled for the counts, after distinct combinations of
-value, owner and repository are formed, so a value in a third of all texts costs a row for each owner.
+repeated ids do no harm; only digests of values, never values or texts, are written or shuffled for the counts, after
+distinct combinations of digest, owner and repository are formed, so a value in a third of all texts costs a row for
+each repository.
 """
 
 from __future__ import annotations
@@ -39,13 +40,15 @@ BASE = (
 #: Tokens without a telling name or form; a finding only where they belong to one owner and look live.
 OWNED = Kind("owned", r"[A-Za-z0-9+/_=-]{20,}", 0, 20)
 KINDS = (*BASE, OWNED)
-#: A value that so many owners hold is a copied example.
+#: A value that so many owners hold is a copied example, and so is one in so many repositories, be they one owner's.
 WIDE_OWNERS = 3
+WIDE_REPOSITORIES = 4
 #: A live-looking value has so many different characters, a digit, a letter and no placeholder word.
 VARIETY = 10
 PLACEHOLDERS = r"(?i)example|sample|dummy|placeholder|changeme|your|xxxx|1234"
 
-SPAN = "struct<rank:int,s:int,e:int,value:string>"
+FOUND = "struct<rank:int,s:int,e:int,value:string>"
+SPAN = "struct<rank:int,s:int,e:int,digest:string>"
 
 
 def located(text: Column, kind: Kind) -> Column:
@@ -56,7 +59,7 @@ def located(text: Column, kind: Kind) -> Column:
     parts = F.split(text, kind.pattern, -1)
     whole = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(kind.group))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("found"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{FOUND}>").alias("found"))
 
     def step(state: Column, x: Column) -> Column:
         low = state["at"] + F.length(x["0"])
@@ -66,7 +69,7 @@ def located(text: Column, kind: Kind) -> Column:
         return F.when(x["1"].isNull(), state).otherwise(F.struct(high.alias("at"), kept.alias("found")))
 
     walked = F.aggregate(F.arrays_zip(parts, whole, value), start, step, lambda state: state["found"])
-    return F.when(text.rlike(kind.pattern), walked).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return F.when(text.rlike(kind.pattern), walked).otherwise(F.array().cast(f"array<{FOUND}>"))
 
 
 def by_place(spans: Column) -> Column:
@@ -81,8 +84,15 @@ def live_looking(value: Column) -> Column:
     return varied & value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~value.rlike(PLACEHOLDERS)
 
 
+def digested(found: Column) -> Column:
+    """Matches with the digest of their value in its place."""
+    return F.transform(
+        found, lambda x: F.struct(x["rank"].alias("rank"), x["s"].alias("s"), x["e"].alias("e"), F.sha2(x["value"].cast("binary"), 256).alias("digest"))
+    )
+
+
 def scan(docs: DataFrame, id_col: str, text_col: str, owner: Column, repository: Column) -> DataFrame:
-    """(id, key, owner, repository, base, other): matches of each text, without the text."""
+    """(id, key, owner, repository, base, other): matches of each text, without the text and without their values."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     plain = docs.select(
         F.col(id_col).alias("id"),
@@ -93,14 +103,20 @@ def scan(docs: DataFrame, id_col: str, text_col: str, owner: Column, repository:
         located(text, OWNED).alias("other"),
     )
     clear = F.filter("other", lambda o: ~F.exists("base", lambda b: (b["s"] < o["e"]) & (o["s"] < b["e"])) & live_looking(o["value"]))
-    return plain.withColumn("base", by_place(F.col("ranked"))).drop("ranked").withColumn("other", clear)
+    return plain.withColumn("base", digested(by_place(F.col("ranked")))).drop("ranked").withColumn("other", digested(clear))
 
 
 def ownership(scanned: DataFrame) -> DataFrame:
-    """(value, owners, repositories): how many distinct ones hold each value, over the whole corpus."""
-    held = scanned.select("owner", "repository", F.explode(F.concat("base", "other")["value"]).alias("value"))
-    by_owner = held.distinct().groupBy("value", "owner").agg(F.count("*").alias("repositories"))
-    return by_owner.groupBy("value").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
+    """(digest, owners, repositories, held): how many distinct ones hold each value, over the whole corpus.
+
+    A repository is one of its owner's: equal names under two owners are two.  ``held`` is "copied" from WIDE_OWNERS
+    owners or WIDE_REPOSITORIES repositories on, "owned" for one owner's other values, "shared" for the rest.
+    """
+    places = scanned.select("owner", "repository", F.explode(F.concat("base", "other")["digest"]).alias("digest"))
+    by_owner = places.distinct().groupBy("digest", "owner").agg(F.count("*").alias("repositories"))
+    counted = by_owner.groupBy("digest").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
+    copied = (F.col("owners") >= WIDE_OWNERS) | (F.col("repositories") >= WIDE_REPOSITORIES)
+    return counted.withColumn("held", F.when(copied, "copied").when(F.col("owners") == 1, "owned").otherwise("shared"))
 
 
 def find_secrets(
@@ -110,11 +126,11 @@ def find_secrets(
     owner: Column | None = None,
     repository: Column | None = None,
 ) -> DataFrame:
-    """One row per row of ``docs``: id, key, base and spans (arrays of rank, s, e, value), n_owned, n_copied.
+    """One row per row of ``docs``: id, key, base and spans (arrays of rank, s, e, digest), n_owned, n_copied.
 
-    ``spans`` are the base spans and those the ownership counts add, by start and kind.  ``n_owned`` counts spans
-    whose value one owner holds, ``n_copied`` those whose value WIDE_OWNERS or more hold.  By default the owner is
-    ``source`` and its repositories are its languages.  A null text is empty; null owners count as one owner;
+    ``spans`` are the base spans and those the ownership counts add, by start and kind; ``digest`` is the SHA-256 of
+    the value.  ``n_owned`` counts base spans and candidates whose value is "owned" (see ``ownership``), ``n_copied``
+    those whose value is "copied".  By default the owner is ``source`` and its repositories are its languages.  A null text is empty; null owners count as one owner;
     repeated rows give repeated results; an empty table gives no rows.
     """
     owner = F.col("source") if owner is None else owner
@@ -122,13 +138,13 @@ def find_secrets(
     scanned = cut_lineage(scan(docs, id_col, text_col, owner, repository))
     held = cut_lineage(ownership(scanned))
     places = scanned.select("key", F.explode(F.concat(F.transform("base", _marked(True)), F.transform("other", _marked(False)))).alias("at"))
-    judged = places.distinct().select("key", "at.*").join(held, "value")
+    judged = places.distinct().select("key", "at.*").join(held.select("digest", "held"), "digest")
     judged = judged.groupBy("key").agg(
         F.collect_list(
-            F.when(~F.col("is_base") & (F.col("owners") == 1), F.struct("rank", "s", "e", "value"))
+            F.when(~F.col("is_base") & (F.col("held") == "owned"), F.struct("rank", "s", "e", "digest"))
         ).alias("added"),
-        F.count_if((F.col("owners") == 1)).alias("n_owned"),
-        F.count_if(F.col("owners") >= WIDE_OWNERS).alias("n_copied"),
+        F.count_if(F.col("held") == "owned").alias("n_owned"),
+        F.count_if(F.col("held") == "copied").alias("n_copied"),
     )
     none = F.array().cast(f"array<{SPAN}>")
     merged = by_place(F.concat(F.col("base"), F.coalesce("added", none)))
@@ -141,7 +157,7 @@ def find_secrets(
 
 def _marked(is_base: bool):
     return lambda x: F.struct(
-        x["rank"].alias("rank"), x["s"].alias("s"), x["e"].alias("e"), x["value"].alias("value"), F.lit(is_base).alias("is_base")
+        x["rank"].alias("rank"), x["s"].alias("s"), x["e"].alias("e"), x["digest"].alias("digest"), F.lit(is_base).alias("is_base")
     )
 
 

@@ -128,12 +128,38 @@ def test_ownership(spark):
     rows = [(i, f"see {wide} here", "en", f"src{i}") for i in range(4)]
     rows += [(9, f"mine {own} and {wide}", "en", "src9"), (10, f"mine {own}", "de", "src9"), (11, f"{own} example", None, None)][:2]
     got = by_id(secrets.find_secrets(documents(spark, rows)))
-    assert [x["value"] for x in got[9]["spans"]] == [own]
+    assert [x["digest"] for x in got[9]["spans"]] == [hashlib.sha256(own.encode()).hexdigest()]
     assert (got[9].n_owned, got[9].n_copied) == (1, 1)
     assert got[0].spans == []
     assert got[0].n_copied == 1
 
 
+def test_repositories_separate_copied_from_owned(spark):
+    """Planted tokens by the (owner, repository) pairs that hold them; texts differ, so no digest of a text decides."""
+    planted = {
+        "Aq8Lm3Xw9Rt5Yp2Kd7V1": ([("a", "en")] * 6, "owned"),  # often, in one repository
+        "Bq8Lm3Xw9Rt5Yp2Kd7V2": ([("a", r) for r in ("en", "de", "fr")], "owned"),
+        "Cq8Lm3Xw9Rt5Yp2Kd7V3": ([("a", r) for r in ("en", "de", "fr", "es")], "copied"),
+        "Dq8Lm3Xw9Rt5Yp2Kd7V4": ([("a", "en"), ("b", "en")], "shared"),
+        "Eq8Lm3Xw9Rt5Yp2Kd7V5": ([("a", "en"), ("b", "en"), ("a", "de"), ("b", "de")], "copied"),
+        "Fq8Lm3Xw9Rt5Yp2Kd7V6": ([("a", "en"), ("b", "en"), ("c", "en")], "copied"),
+        "Gq8Lm3Xw9Rt5Yp2Kd7V7": ([(None, None)], "owned"),
+        "Hexamplew9Rt5Yp2Kd7V": ([("a", "en")], None),  # a placeholder is no candidate
+    }
+    rows, want = [], {}
+    for token, (places, held) in planted.items():
+        for owner, repository in places:
+            want[len(rows)] = held
+            rows.append((len(rows), f"number {len(rows)} holds {token} here", repository, owner))
+    named = "Kq8Lm3Xw9Rt5Yp2Kd7V8"  # a base finding keeps its span whoever holds it
+    rows += [(len(rows) + i, f"{i} token={named}", "en", owner) for i, owner in enumerate("abc")]
+    got = by_id(secrets.find_secrets(documents(spark, rows)))
+    for i, held in want.items():
+        assert (got[i].n_owned, got[i].n_copied, len(got[i]["spans"])) == (held == "owned", held == "copied", held == "owned"), rows[i]
+    for i in range(len(want), len(rows)):
+        assert (got[i].n_owned, got[i].n_copied, len(got[i]["base"]), len(got[i]["spans"])) == (0, 1, 1, 1)
+
+
 def test_redaction(spark):
     docs = documents(spark, [(i, t) for i, t in enumerate(SECRETS)] + [(50, "clean text"), (None, "token=abcdefgh1")])
     got = secrets.redact(docs)
