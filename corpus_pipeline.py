@@ -19,7 +19,10 @@ def pass_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies (five-word Jaccard 0.8 or more) stays."""
+    """The document with the smallest id of each group of near copies (five-word Jaccard 0.8 or more) stays.
+
+    SimHash fingerprints and their Golay keys propose the first links, shared shingles those beyond two bits.
+    """
     ship(spark)
     return overlap.one_of_each(docs)
 

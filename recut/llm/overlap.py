@@ -5,9 +5,11 @@ documents; two sets of similarity p/q or more share one of the first n - ceil(n
 no such pair is missed, whatever the order.  The order puts shingles that a sample finds common last, which keeps a
 common passage out of the prefixes.
 
-One shuffle of (shingle, node) finds the shared shingles; all later steps read only those.  What a prefix holds and the
+The first links are those of ``simhash``: the Golay keys of the fingerprints propose which texts lie within two bits, and
+those are compared as whole sets.  Near copies that differ by more bits are found by their shingles.  One shuffle of
+(shingle, node) finds the shared shingles; all later steps read only those.  What a prefix holds and the
 other set does not is missing for good, so a pair must share a certain number of prefix shingles (``needed``); pairs that
-may are compared as whole sets.  First, in a few rounds, the nodes of a shared shingle are paired with two of them alone,
+may are compared as whole sets.  In a few rounds the nodes of a shared shingle are paired with two of them alone,
 which joins large groups of near copies.  Then every two nodes of different components meet, in blocks of bounded size,
 in those shared shingles that no similar pair can do without, so none is missed.
 """
@@ -24,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recut.llm.common import components
+from recut.llm.simhash import fingerprint, near_links
 from recut.session import Scratch, cut_lineage
 
 SHINGLE = 5
@@ -78,14 +81,15 @@ def copy_of(text: Column) -> Column:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, least: tuple[int, int]) -> DataFrame:
-    """(id, copy, node, n, prefix): one row per row of ``docs``; ``copy`` is the digest of the text itself."""
+    """(id, copy, fp, node, n, prefix): one row per row of ``docs``; ``copy`` is the digest of the text itself, ``fp`` its SimHash."""
     common = common_shingles(docs, text_col, size)
     p, q = least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, counts, prefixes = [], [], []
+            nodes, counts, prefixes, fps = [], [], [], []
             for text in batch.column(2).to_pylist():
+                fps.append(fingerprint(text))
                 s = shingle_set(text, size)
                 at = np.searchsorted(common, s)
                 late = np.zeros(len(s), dtype=bool)
@@ -94,12 +98,12 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, least: tu
                 nodes.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
                 counts.append(len(s))
             nodes = np.array(nodes, dtype=np.uint64).view(np.int64)
-            columns = [batch.column(0), batch.column(1), pa.array(nodes), pa.array(counts, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "copy", "node", "n", "prefix"])
+            sets = [pa.array(nodes), pa.array(counts, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64()), *sets], ["id", "copy", "fp", "node", "n", "prefix"])
 
     text = F.col(text_col)
     picked = docs.select(F.col(id_col).cast("long").alias("id"), copy_of(text).alias("copy"), text.cast("binary").alias("text"))
-    return picked.mapInArrow(run, "id long, copy string, node long, n int, prefix array<long>")
+    return picked.mapInArrow(run, "id long, copy string, fp long, node long, n int, prefix array<long>")
 
 
 def shared_shingles(signed: DataFrame) -> DataFrame:
@@ -117,6 +121,19 @@ def shared_shingles(signed: DataFrame) -> DataFrame:
     )
 
 
+def near_fingerprints(signed: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): nodes whose SimHash fingerprints are equal or linked by Golay keys, each with one node of the other fingerprint."""
+    nodes = scratch.table(signed.select("fp", "node").distinct())
+    firsts = scratch.table(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    links = near_links(firsts)
+    same = nodes.join(firsts.hint("merge"), "fp").select(F.col("node").alias("x"), F.col("first").alias("y"))
+    one, other = (firsts.select(F.col("fp").alias(s), F.col("first").alias(name)).hint("merge") for s, name in (("a", "x"), ("b", "y")))
+    pairs = same.unionByName(links.join(one, "a").join(other, "b").select("x", "y")).where("x <> y")
+    pairs = scratch.table(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    scratch.drop(nodes, firsts)
+    return pairs
+
+
 def needed(c: Column, least: tuple[int, int]) -> Column:
     """Whether c common prefix shingles can do for sets of n_a and n_b shingles.
 
@@ -186,10 +203,12 @@ def alike(pairs: DataFrame, signed: DataFrame, docs: DataFrame, text_col: str, s
 
 
 def similar_sets(signed: DataFrame, docs: DataFrame, text_col: str, size: int, least: tuple[int, int], scratch: Scratch) -> DataFrame:
-    """(node, root) of the nodes that are linked to another."""
+    """(node, root) of the nodes that are linked to another: first by fingerprints, then by the shingles they share."""
+    proposed = near_fingerprints(signed, scratch)
+    links = [alike(proposed, signed, docs, text_col, size, least, scratch)]
+    scratch.drop(proposed)
+    roots = components(links[0])
     shared = scratch.table(shared_shingles(signed))
-    roots = shared.select("node", F.col("node").alias("root")).limit(0)
-    links: list[DataFrame] = []
     turn = 0
     while turn <= ROUNDS:
         rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
-from recut.llm import overlap
+from recut.llm import overlap, simhash
 from tests.llm.fixtures import documents, prose
 
 
@@ -68,3 +68,19 @@ def test_repeated_ids(spark):
     docs = documents(spark, [(1, a), (1, a), (1, b), (2, b), (2, prose(3, 80)), (None, a), (None, a)])
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
     assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(1, a), (1, b), (2, prose(3, 80)), (0, a), (0, a)])
+
+
+def test_fingerprints_propose_links(spark, monkeypatch):
+    """The stage's first links come from op10's Golay keys: with no prefix of shingles to go by, they alone are found."""
+    rng = random.Random(8)
+    words = prose(7, 3000).split()
+    texts = {1: " ".join(words), 2: prose(8, 200), 3: edited(rng, words, 1), 4: " ".join(words).upper(), 5: edited(rng, prose(9, 60).split(), 2), 6: prose(9, 60)}
+    fps = {i: simhash.fingerprint(t.encode()) for i, t in texts.items()}
+    assert 0 < (fps[1] ^ fps[3]).bit_count() <= 2 < ((fps[5] ^ fps[6]) % 2**64).bit_count()
+    asked = []
+    monkeypatch.setattr(overlap, "near_links", lambda fps: asked.append(1) or simhash.near_links(fps))
+    stage = lambda: sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, documents(spark, list(texts.items())), "").collect())
+    whole = sorted(set(groups_by_hand(texts).values()))
+    assert stage() == whole and asked
+    monkeypatch.setattr(overlap, "shared_shingles", lambda signed: signed.selectExpr("0L as hash", "node", "n", "1 as place", "1L as weight").limit(0))
+    assert 3 not in stage() and 1 in stage()
