@@ -13,6 +13,8 @@ GRAY_SIDE = 32
 TOP_SHARE = 0.82
 HIST_BINS = (8, 4, 4)
 LETTERBOX = 96
+# Images whose features are held at once.
+FRAMES_AT_ONCE = 100
 
 
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
@@ -89,13 +91,12 @@ def dhash(bgr: np.ndarray) -> int:
     return int(bits.view(">i8")[0])
 
 
-def frame_features(images: DataFrame, *, crop: bool = True) -> DataFrame:
-    """Descriptor, gradient hash and colour histogram of decoded images, batch by batch."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+def features_of(batches: Iterator[pd.DataFrame], crop: bool) -> Iterator[pd.DataFrame]:
+    """Features go on in small parts: those of a whole batch can take far more memory than its images."""
+    for batch in batches:
+        for at in range(0, len(batch), FRAMES_AT_ONCE):
             rows = []
-            for r in batch.itertuples(index=False):
+            for r in batch.iloc[at : at + FRAMES_AT_ONCE].itertuples(index=False):
                 pixels = np.frombuffer(bytes(r.data), np.uint8).reshape(r.height, r.width, r.nChannels).astype(np.float64)
                 bgr = np.repeat(pixels, 3, axis=2) if r.nChannels == 1 else pixels[..., :3]
                 bgr = crop_black(bgr) if crop else bgr
@@ -103,4 +104,11 @@ def frame_features(images: DataFrame, *, crop: bool = True) -> DataFrame:
                 rows.append((r.origin, describe(bgr).astype(np.float32), dhash(bgr), hist.ravel().astype(np.float32)))
             yield pd.DataFrame(rows, columns=["origin", "descriptor", "dhash", "hist"])
 
+
+def frame_features(images: DataFrame, *, crop: bool = True) -> DataFrame:
+    """Descriptor, gradient hash and colour histogram of decoded images, batch by batch."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return features_of(batches, crop)
+
     return images.mapInPandas(run, "origin string, descriptor array<float>, dhash bigint, hist array<float>")
