@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from recut.functions.media import PATTERNS
 from recut.operators.intervals import gap_groups
-from recut.operators.ordered import ORDINAL_SLICE, TIME_SLICE_MS, lag, lead, scan, sum_before
+from recut.operators.ordered import ORDINAL_SLICE, TIME_SLICE_MS, lag, lead, scan, sum_before, told, total
 from recut.operators.runs import run_ids
 from recut.session import cut_lineage
 
@@ -29,7 +29,6 @@ def initial_signals(ranges: DataFrame, keys: Sequence[str], *, pos: str = "clip_
     ranges: segment keys, clip_pos from 0, start_ms, end_ms, covered_ms, subtitle_count, text_role.
     """
     keys = list(keys)
-    sizes = ranges.groupBy(*keys).agg(F.count(F.lit(1)).alias("__total"))
     length = F.greatest(F.lit(0), F.col("end_ms") - F.col("start_ms"))
     covered = F.col("covered_ms")
     place = (
@@ -48,10 +47,9 @@ def initial_signals(ranges: DataFrame, keys: Sequence[str], *, pos: str = "clip_
     )
     extra = F.when(F.col("subtitle_count") >= 2, 1).otherwise(0) - F.when(length < SHORT_CLIP_MS, 1).otherwise(0)
     coverage = F.when(length > 0, F.floor(covered * 10_000 / length + 0.5)).otherwise(0).cast("bigint")
-    scored = ranges.join(sizes, keys).withColumn("coverage_e4", coverage).withColumn("__base", place + cover + extra)
     near = scan(
-        scored, keys, [pos],
-        [lag("__pc", "coverage_e4"), lag("__pe", "end_ms"), lead("__nc", "coverage_e4"), lead("__ns", "start_ms")],
+        ranges, keys, [pos],
+        [lag("__pc", coverage), lag("__pe", "end_ms"), lead("__nc", coverage), lead("__ns", "start_ms"), total("__total", F.lit(1))],
         width=width,
     )
     weak = WEAK_COVER * 100
@@ -59,24 +57,26 @@ def initial_signals(ranges: DataFrame, keys: Sequence[str], *, pos: str = "clip_
     after = (F.col("__nc") >= weak) & (F.col("__ns") <= F.col("end_ms") + CONNECTED_GAP_MS)
     bonus = (F.col("coverage_e4") >= weak) & (F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False)))
     score = F.col("__base") + F.when(bonus, 1).otherwise(0)
-    return (
-        near.withColumn("score", score.cast("bigint"))
+    signals = (
+        near.withColumn("coverage_e4", coverage)
+        .withColumn("__base", place + cover + extra)
+        .withColumn("score", score.cast("bigint"))
         .withColumn("audio_role", F.when(F.col("score") >= 3, ORIGINAL).otherwise(NARRATION))
         .drop("__base", "__pc", "__pe", "__nc", "__ns", "__total")
     )
+    return told(signals, near)
 
 
 def smooth_roles(signals: DataFrame, keys: Sequence[str], *, pos: str = "clip_pos", width: float = ORDINAL_SLICE) -> DataFrame:
     """Short original runs become narration; then a short narration clip between originals flips back."""
     keys = list(keys)
-    runs = cut_lineage(run_ids(signals, keys, [pos], "audio_role", "__run", width=width))
-    spans = runs.groupBy(*keys, "__run").agg(
-        F.greatest(F.lit(0), F.max_by("end_ms", pos) - F.min_by("start_ms", pos)).alias("__span")
-    )
-    kept = runs.join(spans, [*keys, "__run"]).withColumn(
-        "audio_role",
-        F.when((F.col("audio_role") == ORIGINAL) & (F.col("__span") < MIN_BLOCK_MS), NARRATION).otherwise(F.col("audio_role")),
-    )
+    runs = run_ids(signals, keys, [pos], "audio_role", "__run", width=width)
+    edged = scan(runs, keys, [pos], [lag("__before", "__run"), lead("__behind", "__run")], width=width)
+    edge = lambda other, time: F.when(F.col(other).isNull() | (F.col(other) != F.col("__run")), F.col(time))
+    ends = [total("__from", edge("__before", "start_ms")), total("__to", edge("__behind", "end_ms"))]
+    spans = scan(edged, [*keys, "__run"], [pos], ends, width=width)
+    span = F.greatest(F.lit(0), F.col("__to") - F.col("__from"))
+    kept = told(spans.withColumn("audio_role", F.when((F.col("audio_role") == ORIGINAL) & (span < MIN_BLOCK_MS), NARRATION).otherwise(F.col("audio_role"))), spans)
     near = scan(
         kept, keys, [pos],
         [lag("__pr", "audio_role"), lag("__pe", "end_ms"), lead("__nr", "audio_role"), lead("__ns", "start_ms")],
@@ -91,7 +91,7 @@ def smooth_roles(signals: DataFrame, keys: Sequence[str], *, pos: str = "clip_po
         & (F.col("__ns") <= F.col("end_ms") + CONNECTED_GAP_MS)
     )
     return near.withColumn("audio_role", F.when(flips, ORIGINAL).otherwise(F.col("audio_role"))).drop(
-        "__run", "__span", "__pr", "__pe", "__nr", "__ns"
+        "__run", "__before", "__behind", "__from", "__to", "__pr", "__pe", "__nr", "__ns"
     )
 
 
@@ -102,9 +102,8 @@ def best_split(signals: DataFrame, keys: Sequence[str], *, pos: str = "clip_pos"
     are whole numbers.  Ties go to none, all, then the earliest split, originals last before first.
     """
     keys = list(keys)
-    worth = signals.withColumn("__w", (F.col("score") * 2 - 5).cast("bigint"))
-    before = scan(worth, keys, [pos], [sum_before("__p", "__w")], width=width)
-    totals = worth.groupBy(*keys).agg(F.sum("__w").alias("__s"))
+    worth = (F.col("score") * 2 - 5).cast("bigint")
+    before = scan(signals, keys, [pos], [sum_before("__p", worth), total("__s", worth)], width=width)
     s, p, k = F.col("__s"), F.col("__p"), F.col(pos)
     plain = F.array(
         F.struct((-s).alias("value"), F.lit(0).cast("bigint").alias("rank"), F.lit(PATTERNS[0]).alias("pattern")),
@@ -114,7 +113,7 @@ def best_split(signals: DataFrame, keys: Sequence[str], *, pos: str = "clip_pos"
         F.struct((s - 2 * p).alias("value"), (-2 * k).cast("bigint").alias("rank"), F.lit(PATTERNS[2]).alias("pattern")),
         F.struct((2 * p - s).alias("value"), (-2 * k - 1).cast("bigint").alias("rank"), F.lit(PATTERNS[3]).alias("pattern")),
     )
-    offered = before.join(totals, keys).withColumn("__best", F.array_max(F.when(k == 0, plain).otherwise(split)))
+    offered = before.withColumn("__best", F.array_max(F.when(k == 0, plain).otherwise(split)))
     picked = offered.groupBy(*keys).agg(F.max(F.struct("__best", F.col("clip_index").alias("at"))).alias("b"))
     chosen = F.col("b")["__best"]["pattern"]
     return picked.select(
@@ -291,7 +290,8 @@ def narration_text(clips: DataFrame, texts: DataFrame, keys: Sequence[str], *, w
     """
     keys = list(keys)
     length = F.greatest(F.lit(0), F.col("end_ms") - F.col("start_ms"))
-    timed = scan(clips.withColumn("__len", length), keys, ["clip_index"], [sum_before("__from", "__len")], width=width)
+    narrowed = clips.select(*keys, "clip_index", "is_original", length.alias("__len"))  # read twice below
+    timed = scan(narrowed, keys, ["clip_index"], [sum_before("__from", "__len")], width=width)
     totals = timed.groupBy(*keys).agg(
         F.sum("__len").alias("__total"), F.count(F.lit(1)).alias("__n"), F.count_if(~F.col("is_original")).alias("__spoken")
     )

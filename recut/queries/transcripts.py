@@ -11,6 +11,7 @@ from recut.operators import transcripts as tr
 from recut.operators.wordbags import similar_texts
 from recut.queries.domain import AUDIO_RANGES_SQL, CLIPS_SQL, INTERVALS_SQL, REF_SHOTS_SQL, SUBTITLES_SQL
 from recut.queries.registry import ctes, query
+from recut.session import cut_lineage
 
 MEDIA = ctes(INTERVALS_SQL, REF_SHOTS_SQL, SUBTITLES_SQL)
 
@@ -181,9 +182,10 @@ SELECT b.project_id, batch_no, count(*) AS segment_count, m AS max_original_ms,
 )
 def _(t):
     seg = ["project_id", "seg_no"]
-    signals = au.smooth_roles(au.initial_signals(t.audio_ranges, seg), seg)
+    ranges = cut_lineage(t.audio_ranges)
+    signals = au.smooth_roles(au.initial_signals(ranges, seg), seg)
     segments = t.orders.select((F.col("o_orderkey") % 50).alias("project_id"), F.col("o_orderkey").alias("seg_no"), F.lit("narration").alias("text_role"), F.col("o_orderpriority").alias("old_text"))
-    batches = rw.audio_selection_payloads(segments, signals, au.budget_totals(t.audio_ranges, ["project_id"]), ["project_id"], 20)
+    batches = rw.audio_selection_payloads(segments, signals, au.budget_totals(ranges, ["project_id"]), ["project_id"], 20)
     parsed = F.from_json("payload", "struct<global_budget:struct<max_original_ms:bigint,max_original_clips:bigint>,segments:array<struct<clips:array<struct<clip_index:bigint>>>>>")
     clips = F.aggregate(F.col("p.segments"), F.lit(0).cast("bigint"), lambda n, s: n + F.coalesce(F.size(s.clips), F.lit(0)))
     return batches.withColumn("p", parsed).select("project_id", "batch_no", "segment_count", "p.global_budget.*", clips.alias("clip_count"))
