@@ -43,3 +43,28 @@ def test_empty_tables(spark):
     assert similar_texts(a, none, "i", "j").count() == 0
     with pytest.raises(ValueError):
         similar_texts(a, none, "i", "j", least=0)
+
+
+def test_what_cannot_be_similar_is_not_written(spark, monkeypatch):
+    """Texts too long or too short for the other side leave at once, words of one side only before the bags are built."""
+    from recut.operators import wordbags
+
+    written, write = [], wordbags.cut_lineage
+    monkeypatch.setattr(wordbags, "cut_lineage", lambda df: written.append(write(df)) or written[-1])
+    left = [(i, f"the of a x{i} y{i} z{i}") for i in range(10)]
+    long_ones = [(i, " ".join(f"the of w{k}" for k in range(200))) for i in range(50)]
+    others = [(100 + i, " ".join(f"q{i}r{k}" for k in range(8)) + " the") for i in range(50)]
+    right = [*long_ones, *others, (200, "the of x3 y3 z3 a"), (201, "the")]
+    a, b = spark.createDataFrame(left, "i long, text string"), spark.createDataFrame(right, "j long, text string")
+    got = {tuple(r) for r in similar_texts(a, b, "i", "j", least=0.5).collect()}
+    assert got == by_hand(left, right, 0.5) and (3, 200, 6, 6, 6) in got
+    counts = [df.count() for df in written]
+    assert max(counts) <= 50 * 9 + 6 and counts[-1] == 1 and sum(counts) <= 50 * 9 + 6 + 100
+
+
+def test_texts_of_one_id_count_as_one(spark):
+    left = [(1, "one two two"), (None, "one two two"), (2, "five")]
+    right = [(7, "one two"), (7, "two"), (8, "one two two"), (None, "one two two"), (9, None), (9, "five"), (10, "five"), (10, "six " * 9)]
+    a, b = spark.createDataFrame(left, "i long, text string"), spark.createDataFrame(right, "j long, text string")
+    got = {tuple(r) for r in similar_texts(a, b, "i", "j", least=0.5).collect()}
+    assert got == {(1, 7, 3, 3, 3), (1, 8, 3, 3, 3), (2, 9, 1, 1, 1)}
