@@ -115,6 +115,25 @@ def test_dedupe_fixed_point_equals_the_loop(spark, width):
     assert sorted((r.item_no, r.range_pos, r.start_ms, r.end_ms) for r in got.collect()) == sorted(want)
 
 
+def test_dedupe_in_waves_equals_one_wave(spark, monkeypatch):
+    """Rows whose pictures an earlier wave keeps leave before any round; nulls and several keys a row make no difference."""
+    rng = random.Random(12)
+    rows = []
+    for item in range(1, 200):
+        for pos in range(1, 4):
+            start = rng.randrange(0, 6) * 1_000
+            ids = [f"s{rng.randrange(12)}" for _ in range(rng.choice([0, 1, 1, 2]))]
+            rows.append((rng.choice([1, 2]), item, pos, start, start + rng.choice([20, 300, 700]), ids))
+    rows += [(None, 1, 1, 0, 500, ["s1"]), (1, None, 1, 0, 500, ["s2"]), (2, 3, 9, None, 500, None), (2, 150, 9, 0, 500, ["new"])]
+    df = spark.createDataFrame(rows, "p bigint, item_no bigint, range_pos bigint, start_ms bigint, end_ms bigint, shot_ids array<string>").repartition(3)
+    walked, scan = [], tl.scan
+    monkeypatch.setattr(tl, "scan", lambda d, *x, **y: walked.append(d.count()) or scan(d, *x, **y))
+    found = lambda **x: sorted((r.p, r.item_no, r.range_pos, r.start_ms, r.end_ms, r.shot_ids) for r in tl.dedupe_visuals(df, ["p"], width=1_000, **x).collect())
+    in_waves, most = found(wave=20), max(walked)
+    assert in_waves == found() and (2, 150, 9, 0, 500, ["new"]) in in_waves
+    assert most < 450 and max(walked) > 590  # before, all 600 entered the first round
+
+
 def test_merge_is_idempotent_and_touching_merges(spark):
     df = spark.createDataFrame([(1, 0, 5), (1, 5, 9), (1, 20, 20), (1, 30, 25), (1, 11, 12)], "m bigint, start_ms bigint, end_ms bigint")
     once = iv.merge_intervals(df, ["m"], width=4)
