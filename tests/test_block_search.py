@@ -7,6 +7,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from recut.operators import similarity as sim
 
@@ -102,3 +103,35 @@ def test_votes_over_blocks(spark):
             want[q, s] += (68 - dist) / 68
     got = {(r.ref_no, r.movie_no): r.votes for r in votes.collect()}
     assert got.keys() == want.keys() and want and all(abs(v - want[k]) < 1e-9 for k, v in got.items())
+
+
+def test_bags_of_a_block_are_read_as_written(monkeypatch):
+    """Numbered hashes, sorted once: matrices and lists in small pieces give the sums of products; a null hash has no score."""
+    monkeypatch.setattr(sim, "DENSE_AT_ONCE", 3)
+    monkeypatch.setattr(sim, "ROWS_AT_ONCE", 4)
+    monkeypatch.setattr(sim, "MEETINGS_AT_ONCE", 40)
+    monkeypatch.setattr(sim, "DENSE_FROM", 12)
+    monkeypatch.setattr(sim, "BAG_ROWS", 10)
+    rng = random.Random(8)
+
+    def rows(count, first):
+        return [(first + n, h, rng.random()) for n in range(count) for h in {*rng.sample(range(8), 3), *rng.sample(range(8, 90), rng.randint(0, 12))}]
+
+    def table(rows):
+        shot, hashes, weight = (list(c) for c in zip(*rows, strict=True))
+        return sim.Bags.arrange(pa.table({"shot": pa.array(shot), "hash": pa.array(hashes, pa.int64()), "weight": pa.array(weight, pa.float64())}))
+
+    left, right, more = rows(23, 0), rows(31, 100), rows(9, 200)
+    left.append((0, None, 0.5))
+    right.append((101, None, None))
+    a, b = sim.Bags.read([table(left)]), sim.Bags.read([table(right), table(more)])
+    got = np.concatenate([scores for _, scores in a.products(b)])
+    assert got.shape == (23, 40)
+    theirs = Counter()
+    for s, h, w in right + more:
+        theirs[s, h] = w
+    for i, q in enumerate(a.ids):
+        for j, n in enumerate(b.ids):
+            want = 0.0 if (q, n) == (0, 101) else sum(w * theirs[n, h] for s, h, w in left if s == q and h is not None)
+            assert abs(got[i, j] - want) < 1e-12
+    assert (a.hashes[1:] > a.hashes[:-1]).all() and (b.hashes[1:] > b.hashes[:-1]).all()
