@@ -86,3 +86,18 @@ def test_only_items_go_through_the_scan_of_a_project(spark, monkeypatch):
             if i // 3 % 2 == p:
                 want[i // 3, i % 3 + 1] = (at, at := at + 40 + i)
     assert {(r.item_no, r.clip_no): (r.timeline_start_ms, r.timeline_end_ms) for r in rows} == want
+
+
+def test_script_follows_from_written_ranges(spark, tmp_path):
+    """Ranges are numbered once; the units of a script are read from them."""
+    from recut.queries import timeline as queries
+    from recut.queries.registry import Tables
+
+    spark.range(12).selectExpr(
+        "id div 3 as l_orderkey", "id as l_partkey", "id % 4 as l_suppkey", "cast(id % 3 as int) as l_linenumber", "double(5) as l_quantity", "double(id) as l_extendedprice",
+        "'N' as l_returnflag", "'O' as l_linestatus",
+    ).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(4).selectExpr("id as o_orderkey", "'F' as o_orderstatus", "'1-URGENT' as o_orderpriority").write.parquet(str(tmp_path / "orders.parquet"))
+    _, ranges, units = queries._written_script(Tables(spark, str(tmp_path)))
+    assert all("Window" not in df._jdf.queryExecution().executedPlan().toString() for df in (ranges, units))
+    assert ranges.count() == 12 and units.count() == 6
